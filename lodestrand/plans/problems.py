@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.functions.keys import task_key
-from lodestrand.operators import intervals, timestamps
+from lodestrand.functions.keys import func_key, plain_key, taint_key, task_key
+from lodestrand.operators import drift, hierarchy, intervals, references, timestamps
 from lodestrand.session import table
 
 
@@ -37,5 +37,124 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.periods_and_gaps(session_spans(spark, sf_dir), "task_id", "start_micros", "end_micros")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
-SQL: dict[str, str] = {}
+def _graph_references(spark: SparkSession, sf_dir: str) -> list[references.Reference]:
+    at = lambda name: table(spark, sf_dir, name)
+    deleted = at("deleted_records")
+    gone = lambda name: deleted.where(plain_key("table_name") == name)
+    functions = references.live_keys(at("dvs_functions"), func_key("func_id"), gone("dvs_functions"), func_key("record_key"))
+    nodes = references.live_keys(
+        at("dvs_task_graph_nodes"), plain_key("node_id"), gone("dvs_task_graph_nodes"), plain_key("record_key")
+    )
+    dag = F.concat_ws("|", func_key("func_id"), taint_key("taint_signature"), task_key("task_id"), F.lit(""))
+    dag_nodes = references.live_keys(at("dag_nodes").where("node_id is not null"), F.concat(dag, F.col("node_id")))
+    edges, sessions, dag_edges = at("dvs_task_graph_edges"), at("dvs_task_graph_sessions"), at("dag_edges")
+    stored = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("func_id", "taint_signature", "task_id", "edge_id")])
+    refs = [
+        references.Reference(
+            "dvs_task_graph_edges", "target_func_id", edges, func_key("target_func_id"), F.col("edge_id"), plain_key("target_func_id"), functions
+        ),
+        references.Reference(
+            "dvs_task_graph_sessions", "node_id", sessions, plain_key("node_id"), F.col("session_relpath"), plain_key("node_id"), nodes
+        ),
+    ]
+    for end in ("from_node", "to_node"):
+        refs.append(references.Reference(
+            "dag_edges", end, dag_edges, F.concat(dag, F.col(end)), stored, F.col(end).cast("string"), dag_nodes
+        ))
+    return refs
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reference of edges, sessions and DAG edges to a record that does not exist."""
+    return references.found(_graph_references(spark, sf_dir))
+
+
+def p4_orphans_per_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphan references per table, field and month of loaded_at."""
+    return references.counted(_graph_references(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of fields between neighbouring versions of the golden files."""
+    return drift.changes(table(spark, sf_dir, "expected_dag"))
+
+
+def call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scope, child, parent): visible call links of each task."""
+    edges = table(spark, sf_dir, "dvs_task_graph_edges").where("visible_in_tree = 1")
+    node = lambda c: F.regexp_replace(plain_key(c), "^0x", "")
+    return edges.select(
+        task_key("task_id").alias("scope"), node("target_node_id").alias("child"), node("source_node_id").alias("parent")
+    ).where("child is not null and parent is not null")
+
+
+def dag_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scope, child, parent): parents that any record of a DAG node names; nodes without any have a NULL parent."""
+    rows = table(spark, sf_dir, "dag_nodes").where("node_id is not null")
+    scope = F.concat(func_key("func_id"), F.lit("|"), taint_key("taint_signature"), F.lit("|"), task_key("task_id"))
+    parents = F.regexp_extract_all(F.coalesce("parents_json", F.lit("")), F.lit("-?\\d+"), F.lit(0))
+    # NULL stands for the node itself, so that a record without parents still names its node
+    named = F.explode(F.concat(F.array(F.lit(None).cast("string")), parents))
+    return rows.select(scope.alias("scope"), F.col("node_id").cast("string").alias("child"), named.alias("parent")).withColumn(
+        "parent", F.regexp_replace("parent", "^(-?)0+(?=\\d)", "$1")
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth below every root of all nodes of call links and DAG parent lists, and the nodes on cycles."""
+    both = call_links(spark, sf_dir).select(F.concat(F.lit("e"), "scope").alias("scope"), "child", "parent").unionAll(
+        dag_links(spark, sf_dir).select(F.concat(F.lit("d"), "scope").alias("scope"), "child", "parent")
+    )
+    first = F.substring("scope_key", 1, 1)
+    return hierarchy.solve(both).select(
+        F.when(first == "e", "dvs_task_graph_edges").otherwise("dag_nodes").alias("src_table"),
+        F.expr("substring(scope_key, 2)").alias("scope_key"), "node_key", "root_key", "link_depth",
+    )
+
+
+_P4_SQL = r"""
+WITH gone AS (
+    SELECT lower(trim(table_name)) AS tab, lower(trim(record_key)) AS k, max(deleted_at) AS deleted_at FROM deleted_records GROUP BY 1, 2),
+f AS (
+    SELECT k FROM (SELECT regexp_replace(lower(trim(func_id)), '^0x', '') AS k, max(loaded_at) AS loaded FROM dvs_functions GROUP BY 1) a
+    WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.tab = 'dvs_functions' AND regexp_replace(g.k, '^0x', '') = a.k AND g.deleted_at > a.loaded)),
+n AS (
+    SELECT k FROM (SELECT lower(trim(node_id)) AS k, max(loaded_at) AS loaded FROM dvs_task_graph_nodes GROUP BY 1) a
+    WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.tab = 'dvs_task_graph_nodes' AND g.k = a.k AND g.deleted_at > a.loaded)),
+d AS (
+    SELECT DISTINCT regexp_replace(lower(trim(func_id)), '^0x', '') AS fk,
+        regexp_replace(regexp_replace(regexp_replace(taint_signature, '\s+', '', 'g'), '^(this|self)(->|\.)', ''), '[()]+$', '') AS sk,
+        replace(lower(trim(task_id)), '_', '-') AS tk, node_id FROM dag_nodes),
+e AS (
+    SELECT *, regexp_replace(lower(trim(func_id)), '^0x', '') AS fk,
+        regexp_replace(regexp_replace(regexp_replace(taint_signature, '\s+', '', 'g'), '^(this|self)(->|\.)', ''), '[()]+$', '') AS sk,
+        replace(lower(trim(task_id)), '_', '-') AS tk FROM dag_edges),
+r AS (
+    SELECT 'dvs_task_graph_edges' AS ref_table, 'target_func_id' AS ref_field, edge_id AS ref_key, lower(trim(target_func_id)) AS missing_key, loaded_at, regexp_replace(lower(trim(target_func_id)), '^0x', '') AS cmp
+    FROM dvs_task_graph_edges WHERE trim(target_func_id) <> '' AND regexp_replace(lower(trim(target_func_id)), '^0x', '') NOT IN (SELECT k FROM f)
+    UNION ALL
+    SELECT 'dvs_task_graph_sessions', 'node_id', session_relpath, lower(trim(node_id)), loaded_at, lower(trim(node_id))
+    FROM dvs_task_graph_sessions WHERE trim(node_id) <> '' AND lower(trim(node_id)) NOT IN (SELECT k FROM n)
+    UNION ALL
+    SELECT 'dag_edges', 'from_node', concat_ws('|', func_id, taint_signature, task_id, edge_id), CAST(from_node AS VARCHAR), loaded_at, concat_ws('|', fk, sk, tk, from_node)
+    FROM e WHERE from_node IS NOT NULL AND NOT EXISTS (
+        SELECT 1 FROM d WHERE d.fk = e.fk AND d.sk = e.sk AND d.tk = e.tk AND d.node_id = e.from_node)
+    UNION ALL
+    SELECT 'dag_edges', 'to_node', concat_ws('|', func_id, taint_signature, task_id, edge_id), CAST(to_node AS VARCHAR), loaded_at, concat_ws('|', fk, sk, tk, to_node)
+    FROM e WHERE to_node IS NOT NULL AND NOT EXISTS (
+        SELECT 1 FROM d WHERE d.fk = e.fk AND d.sk = e.sk AND d.tk = e.tk AND d.node_id = e.to_node))
+""".replace("\\\\", "\\")
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_orphans_per_month": p4_orphans_per_month,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+}
+SQL = {
+    "p4_found": _P4_SQL + "SELECT DISTINCT ref_table, ref_field, ref_key, missing_key FROM r",
+    "p4_orphans_per_month": _P4_SQL
+    + "SELECT ref_table, ref_field, strftime(loaded_at AT TIME ZONE 'UTC', '%Y-%m') AS loaded_month, count(*) AS orphan_refs, count(DISTINCT cmp) AS orphan_keys FROM r GROUP BY 1, 2, 3",
+}
