@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.session import durable
+
 PREFIX = "analyze_"
 CHANGE_SCHEMA = (
     "case_id long, case_version int, obj_level string, old_field string, new_field string, old_type string, new_type string"
@@ -209,5 +211,5 @@ def with_previous(df: DataFrame, case: str, version: str, value: str, out: str,
 
 def changes(files: DataFrame) -> DataFrame:
     """Every difference between a parseable version and the parseable version before it."""
-    pairs = with_previous(profiles(files), "case_id", "case_version", "profile", "before").where("before is not null")
+    pairs = with_previous(durable(profiles(files)), "case_id", "case_version", "profile", "before").where("before is not null")
     return pairs.select("case_id", "case_version", "before", "profile").mapInArrow(_compare_batches, CHANGE_SCHEMA)

@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_MICROS = 7 * 86_400_000_000
+from lodestrand.session import durable
+
+CHUNK_MICROS = 86_400_000_000
 FAN_IN = 32
 _LISTS = T.StructType([T.StructField("s", T.ArrayType(T.LongType())), T.StructField("e", T.ArrayType(T.LongType()))])
 
@@ -68,7 +70,7 @@ def periods(df: DataFrame, entity: str, start: str, end: str, chunk: int = CHUNK
     )
     leaves = _combine(base, ["_k", "_c", "_i"])
     inner = _combine(leaves.withColumn("_i", F.col("_i") % fan_in), ["_k", "_c", "_i"])
-    chunks = _combine(inner, ["_k", "_c"])
+    chunks = durable(_combine(inner, ["_k", "_c"]))  # read several times below
 
     # Latest end before each chunk: one row per chunk of an entity.
     past = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
@@ -131,6 +133,6 @@ def gaps(found: DataFrame, entity: str, chunk: int = CHUNK_MICROS) -> DataFrame:
 
 def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, chunk: int = CHUNK_MICROS) -> DataFrame:
     """(entity, span_kind, start_micros, end_micros) with span_kind ``period`` or ``gap``."""
-    found = periods(df, entity, start, end, chunk)
+    found = durable(periods(df, entity, start, end, chunk))
     kind = lambda x, name: x.select(entity, F.lit(name).alias("span_kind"), "start_micros", "end_micros")
     return kind(found, "period").unionAll(kind(gaps(found, entity, chunk), "gap"))
