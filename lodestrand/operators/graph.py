@@ -6,20 +6,69 @@ it adds. Path-shaped results carry the path and cut cycles on it.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.session import durable, release
 
 
-def first_visit(edges: DataFrame, roots: DataFrame, max_depth: int = 10_000) -> DataFrame:
+LOCAL_LINKS = 20_000
+_VISIT = "scope string, node string, depth int, parent string"
+
+
+def _visit_batches(max_depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], [], []]
+            for scope, links, roots in zip(*(batch.column(n).to_pylist() for n in ("scope", "links", "roots")), strict=True):
+                below = defaultdict(set)
+                for link in links or ():
+                    below[link["src"]].add(link["dst"])
+                seen, front, depth = {r: None for r in roots or ()}, sorted(roots or ()), 0
+                while front:
+                    for node in front:
+                        for col, x in zip(cols, (scope, node, depth, seen[node]), strict=True):
+                            col.append(x)
+                    depth += 1
+                    fresh: dict[str, str] = {}
+                    for node in front if depth <= max_depth else ():
+                        for x in below[node]:
+                            if x not in seen:
+                                fresh[x] = min(node, fresh.get(x, node))
+                    seen |= fresh
+                    front = sorted(fresh)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], ["scope", "node", "depth", "parent"])
+
+    return run
+
+
+def first_visit(edges: DataFrame, roots: DataFrame, max_depth: int = 10_000, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(scope, node, depth, parent) of every node some root of its scope reaches.
 
     ``edges``: scope, src, dst. ``roots``: scope, node. A node is visited once, at its least depth; of
-    several parents at that depth the smallest counts. Ends when nothing new is found.
+    several parents at that depth the smallest counts. Scopes with at most ``local_links`` links are walked
+    one per row after one shuffle; larger ones round by round over the cluster.
     """
-    edges = durable(edges.select("scope", "src", "dst").where("src is not null and dst is not null").distinct())
-    front = durable(roots.select("scope", "node").where("node is not null").distinct().select("scope", "node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
+    edges = durable(edges.select("scope", "src", "dst").where("scope is not null and src is not null and dst is not null").distinct())
+    roots = roots.select("scope", "node").where("scope is not null and node is not null").distinct()
+    large = edges.groupBy("scope").count().where(F.col("count") > local_links).select("scope")
+    hot = not large.isEmpty()
+    small = edges.join(large, "scope", "left_anti") if hot else edges
+    small_roots = roots.join(large, "scope", "left_anti") if hot else roots
+    packed = small_roots.groupBy("scope").agg(F.collect_list("node").alias("roots")).join(
+        small.groupBy("scope").agg(F.collect_list(F.struct("src", "dst")).alias("links")), "scope", "left")
+    out = packed.mapInArrow(_visit_batches(max_depth), _VISIT)
+    if not hot:
+        return out
+    return out.unionAll(_visit_rounds(edges.join(large, "scope", "left_semi"), roots.join(large, "scope", "left_semi"), max_depth))
+
+
+def _visit_rounds(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    front = durable(roots.select("scope", "node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
     seen, parts, depth = front, [front], 0
     while depth < max_depth:
         depth += 1
@@ -33,7 +82,7 @@ def first_visit(edges: DataFrame, roots: DataFrame, max_depth: int = 10_000) ->
         if depth % 8 == 0:
             seen = durable(seen)
             release(*parts[:-1])
-            parts = [seen]
+            parts = [seen, front]
     return seen
 
 
