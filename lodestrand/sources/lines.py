@@ -18,11 +18,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return text_lines(files, "file", "value")
 
 
+def is_json_object(line: str) -> Column:
+    """True for lines that are one JSON object and nothing else."""
+    text = F.trim(line, F.lit(" \t\r"))
+    return F.coalesce(F.try_parse_json(text).isNotNull() & F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")), F.lit(False))
+
+
 def timeline(lines: DataFrame, newest_first: bool = True, at: tuple[str, ...] = ("created_at", "timestamp", "ts")) -> DataFrame:
     """Rows of JSON object lines with their time; malformed, blank and scalar lines are skipped."""
-    parsed = lines.withColumn("event", F.try_parse_json("line")).where(F.col("event").isNotNull() & F.startswith(F.trim("line"), F.lit("{")))
     when = F.coalesce(*[F.get_json_object("line", f"$.{k}") for k in at], F.lit(""))
-    return parsed.drop("event").withColumn("at", when).orderBy(F.desc("at") if newest_first else F.asc("at"))
+    return lines.where(is_json_object("line")).withColumn("at", when).orderBy(F.desc("at") if newest_first else F.asc("at"))
 
 
 def tail(lines: DataFrame, key: str, count: int) -> DataFrame:
@@ -34,8 +39,7 @@ def tail(lines: DataFrame, key: str, count: int) -> DataFrame:
 def session_lines(lines: DataFrame) -> DataFrame:
     """Line type: header (type session), event (other objects), raw (anything else)."""
     kind = F.get_json_object("line", "$.type")
-    is_object = F.try_parse_json("line").isNotNull() & F.startswith(F.trim("line"), F.lit("{"))
-    return lines.withColumn("kind", F.when(~F.coalesce(is_object, F.lit(False)), "raw").when(kind == "session", "header").otherwise("event"))
+    return lines.withColumn("kind", F.when(~is_json_object("line"), "raw").when(kind == "session", "header").otherwise("event"))
 
 
 def metric_samples(lines: DataFrame) -> DataFrame:
