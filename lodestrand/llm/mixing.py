@@ -45,10 +45,13 @@ def queue_positions(sized: DataFrame, seed: int = 0, range_rows: int = RANGE_ROW
     # ranges of the hash: about range_rows rows each, whatever the size of the source
     width = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(range_rows)))
     docs = docs.withColumn("_b", F.floor((F.shiftrightunsigned("_h", 32).cast("double") / F.lit(2.0**32)) * width).cast("long"))
-    return _running(docs, ["source"], "_b", ["_h", "doc_id"], "tokens", "upto").select("source", "doc_id", "tokens", "upto", "source_tokens")
+    # in the order of the unsigned hash, which the ranges divide: the same whatever their number
+    docs = docs.withColumn("_u", F.shiftrightunsigned("_h", 1))
+    return _running(docs, ["source"], "_b", ["_u", "_h", "doc_id"], "tokens", "upto").select("source", "doc_id", "tokens", "upto", "source_tokens")
 
 
 def _plan(targets: DataFrame, total: Column) -> DataFrame:
+    targets = targets.select("mix_id", "source", "weight", "max_repeats", "total_share")
     usable = targets.withColumn("weight", F.when((F.col("weight") > 0) & (F.col("max_repeats") > 0), F.col("weight")))
     whole = Window.partitionBy("mix_id")
     return usable.withColumn("share", F.col("weight") / F.sum("weight").over(whole)).withColumn(
