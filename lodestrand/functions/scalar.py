@@ -343,7 +343,7 @@ def evaluation(c: Column | str) -> Column:
     score = F.regexp_extract(text, "##\\s*(?:评分|[Ss]core)[：:=]\\s*(\\d+)", 1).try_cast("int")
     said = F.lower(F.regexp_extract(text, "(?i)##\\s*(?:通过|pass)[：:=]\\s*(是|否|true|false|yes|no|pass|fail)", 1))
     loose = F.regexp_extract(text, "(\\d{1,3})\\s*/\\s*100", 1).try_cast("int")
-    capped = F.least(score, F.lit(100))
+    capped = F.when(score.isNotNull(), F.least(score, F.lit(100)))
     return F.when(capped > 0, F.struct(
         F.when(said != "", said.isin("是", "true", "yes", "pass")).otherwise(capped >= 60).alias("pass"), capped.alias("score")
     )).otherwise(F.struct(F.coalesce(loose >= 70, F.lit(False)).alias("pass"), F.coalesce(loose, F.lit(0)).alias("score")))
