@@ -213,3 +213,86 @@ def changes(files: DataFrame) -> DataFrame:
     """Every difference between a parseable version and the parseable version before it."""
     pairs = with_previous(durable(profiles(files)), "case_id", "case_version", "profile", "before").where("before is not null")
     return pairs.select("case_id", "case_version", "before", "profile").mapInArrow(_compare_batches, CHANGE_SCHEMA)
+
+
+# ---------------------------------------------------------------- one consistent table
+
+FACT_SCHEMA = (
+    "case_id long, case_version int, obj_level string, owner string, obj_no int, field string, type_tag string, value string, "
+    "text_value string, number_value double, flag_value boolean, list_value array<string>"
+)
+
+
+def field_names(profiled: DataFrame, changed: DataFrame) -> dict[tuple[str, str], str]:
+    """(level, field) -> the one name of its class. Names that any rename links are one class; the name that
+    most versions use stands for it. Only distinct field names reach the driver: their number is that of the
+    schema's spellings, not of the data."""
+    used = {
+        (r["level"], r["field"]): r["n"]
+        for r in profiled.select(F.explode("profile").alias("p")).where(~F.startswith("p.field", F.lit(PREFIX)))
+        .groupBy("p.level", "p.field").agg(F.count("*").alias("n")).collect()
+    }
+    links = changed.where(
+        (F.col("old_field") != "") & (F.col("new_field") != "") & (F.col("old_field") != F.col("new_field")) & ~F.startswith("old_field", F.lit(PREFIX))
+    ).select("obj_level", "old_field", "new_field").distinct().collect()
+    above = {k: k for k in used}
+
+    def top(k: tuple[str, str]) -> tuple[str, str]:
+        while above.setdefault(k, k) != k:
+            k = above[k]
+        return k
+
+    for r in links:
+        a, b = top((r["obj_level"], r["old_field"])), top((r["obj_level"], r["new_field"]))
+        if a != b:
+            lo, hi = sorted((a, b), key=lambda k: (-used.get(k, 0), k))
+            above[hi] = lo
+    return {k: top(k)[1] for k in used}
+
+
+def _branches(value: object) -> tuple:
+    """(canonical text, text, number, flag, list): the canonical conversion and the branch of the value's own type."""
+    form = canonical(value)
+    text = form if form is None or isinstance(form, str) else json.dumps(form, ensure_ascii=False)
+    flag = value if isinstance(value, bool) else None
+    number = float(value) if isinstance(value, int | float) and flag is None else None
+    items = None
+    if isinstance(value, list):
+        items = [x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in map(canonical, value) if x is not None]
+    return text, value if isinstance(value, str) else None, number, flag, items
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """Every field of every object of every parseable version under one name: FACT_SCHEMA.
+
+    ``type_tag`` tells which typed branch holds the value as written; ``value`` is its canonical text, equal for
+    all types it was ever written with. Nulls and empty values keep their row with a NULL value. The nested
+    lists of nodes and edges are levels of their own and no fields.
+    """
+    shapes = durable(profiles(files))
+    pairs = with_previous(shapes, "case_id", "case_version", "profile", "before").where("before is not null")
+    names = field_names(shapes, pairs.select("case_id", "case_version", "before", "profile").mapInArrow(_compare_batches, CHANGE_SCHEMA))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for case, version, body in zip(*(batch.column(n).to_pylist() for n in ("case_id", "case_version", "body")), strict=True):
+                for level, objects in levels_of(parse(body) or {}).items():
+                    for at, (owner, obj) in enumerate(objects):
+                        for name, value in obj.items():
+                            if not name.startswith(PREFIX) and not (level == "dag" and name in ("nodes", "edges")):
+                                rows.append((case, version, level, owner, at, names.get((level, name), name), tag(value), *_branches(value)))
+            fields = [
+                pa.field("case_id", pa.int64()), pa.field("case_version", pa.int32()), pa.field("obj_level", pa.string()), pa.field("owner", pa.string()),
+                pa.field("obj_no", pa.int32()), pa.field("field", pa.string()), pa.field("type_tag", pa.string()), pa.field("value", pa.string()),
+                pa.field("text_value", pa.string()), pa.field("number_value", pa.float64()), pa.field("flag_value", pa.bool_()), pa.field("list_value", pa.list_(pa.string())),
+            ]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)], schema=pa.schema(fields))
+
+    rank = F.struct(F.col("loaded_at").cast("long"), F.col("file_id").cast("long"))
+    good = F.col("body").isNotNull() & F.try_parse_json("body").isNotNull()
+    latest = files.where("case_id is not null and case_version is not null").where(good).groupBy(
+        F.col("case_id").cast("long").alias("case_id"), F.col("case_version").cast("int").alias("case_version")
+    ).agg(F.max_by(F.col("body").cast("string"), rank).alias("body"))
+    return latest.mapInArrow(run, FACT_SCHEMA)

@@ -112,6 +112,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One consistent table of all facts of the golden files."""
+    return drift.facts(table(spark, sf_dir, "expected_dag"))
+
+
 _P4_SQL = r"""
 WITH gone AS (
     SELECT lower(trim(table_name)) AS tab, lower(trim(record_key)) AS k, max(deleted_at) AS deleted_at FROM deleted_records GROUP BY 1, 2),
@@ -151,6 +156,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_orphans_per_month": p4_orphans_per_month,
     "p5_found": p5_found,
+    "p5_facts": p5_facts,
     "p6_found": p6_found,
 }
 SQL = {

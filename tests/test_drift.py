@@ -58,3 +58,18 @@ def test_canonical():
     assert all(D.canonical(a) == D.canonical(b) for a, b in same)
     assert D.canonical(["a", "b"]) != D.canonical("ab")
     assert D.tag([1, "a"]) == "array<number>|array<string>" and D.tag([]) is None
+
+
+def test_facts_have_one_name_and_typed_branches(spark):
+    a = dag()
+    b = {("selfContained" if k == "self_contained" else k): v for k, v in dag(self_contained="true").items()}
+    b["edges"] = [{"from": str(x["from"]), "to": x["to"], "taint": [x["taint"]]} for x in a["edges"]]
+    rows = [(1, 1, 1, json.dumps(a), T0), (2, 1, 2, json.dumps(b), T0), (3, 1, 2, "{", T0), (4, 1, 2, None, T0)]
+    df = spark.createDataFrame(rows, "file_id long, case_id long, case_version int, body string, loaded_at timestamp")
+    got = D.facts(df).collect()
+    flags = {r["case_version"]: r for r in got if r["obj_level"] == "dag" and "elf" in r["field"]}
+    assert len({r["field"] for r in flags.values()}) == 1 and {r["value"] for r in flags.values()} == {"1"}
+    assert flags[1]["flag_value"] is True and flags[2]["text_value"] == "true" and flags[2]["flag_value"] is None
+    taints = [r for r in got if r["obj_level"] == "edges" and r["field"] == "taint" and r["obj_no"] == 0]
+    assert {(r["type_tag"], r["value"]) for r in taints} == {("string", "a"), ("array<string>", "a")}
+    assert D.facts(df.limit(0)).count() == 0
