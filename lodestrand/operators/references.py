@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.session import durable
+
 HEAVY = 500
 
 
@@ -74,24 +76,26 @@ def _named(df: DataFrame, refs: list[Reference]) -> DataFrame:
 
 def _split(refs: list[Reference], heavy: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pre-aggregated references, orphan keys among the heavy ones, orphan keys among the others)."""
-    per_key = _rows(refs).groupBy("_f", "_key", "_month").agg(F.count("*").alias("_n"))
+    per_key = durable(_rows(refs).groupBy("_f", "_key", "_month").agg(F.count("*").alias("_n")))
     counts = per_key.groupBy("_f", "_key").agg(F.sum("_n").alias("_n"))
     # At most `heavy` rows reach the driver: each stands for 1/heavy of all references.
-    total = counts.agg(F.sum("_n")).first()[0] or 0
+    total = per_key.agg(F.sum("_n")).first()[0] or 0
     named = [(r["_f"], r["_key"]) for r in counts.where(F.col("_n") >= max(2, -(-total // heavy))).collect()]
     live = _united([r.live.select(F.lit(k).alias("_f"), "_key") for k, r in enumerate(refs)])
     hot = F.broadcast(counts.sparkSession.createDataFrame(named, "_f int, _key string"))
     hot_live = live.join(hot, ["_f", "_key"], "left_semi")
     hot_orphans = hot.join(hot_live, ["_f", "_key"], "left_anti")
     rest = counts.select("_f", "_key").join(hot, ["_f", "_key"], "left_anti")
-    return per_key, hot_orphans, rest.join(live, ["_f", "_key"], "left_anti")
+    return per_key, hot_orphans, durable(rest.join(live, ["_f", "_key"], "left_anti"))
 
 
 def found(refs: list[Reference], heavy: int = HEAVY) -> DataFrame:
     """(ref_table, ref_field, ref_key, missing_key) of every orphan reference."""
     _, hot, rest = _split(refs, heavy)
     rows = _rows(refs).drop("_month")
-    listed = rows.join(F.broadcast(hot), ["_f", "_key"], "left_semi").unionAll(rows.join(rest, ["_f", "_key"], "left_semi"))
+    # heavy orphans by the bounded broadcast, the others by whatever their written size allows
+    both = [F.broadcast(hot), rest]
+    listed = _united([rows.join(keys, ["_f", "_key"], "left_semi") for keys in both])
     return _named(listed, refs).select("ref_table", "ref_field", "ref_key", "missing_key").distinct()
 
 
