@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import scalar as X
 from lodestrand.functions import text
+from lodestrand.functions.branches import branch_contexts
+from lodestrand.operators import lookup, merge, ranking
 from lodestrand.plans.relational import QUERIES as _KNOWN
 from lodestrand.plans.relational import SQL as _KNOWN_SQL
 from lodestrand.plans.relational import query, simple
@@ -66,5 +68,36 @@ def _fork(steps: str):
     return ((k, ">".join(p)) for k, p in enumerate(text.forked_paths(json.loads(steps))))
 
 
+simple("g21_branch_contexts", lambda t: text.apply(t("documents"), ["doc_id"], "text", branch_contexts, "callee string, line_no int, branch string"))
+
+# ---- lookups that share the layers of F06
+_LAYERS = _KNOWN_SQL["f06_layered_name_lookup"]
+
+
+def _resolved(t):
+    return lookup.layered_lookup(t("dvs_task_graph_edges").select(F.col("target_function_raw").alias("probe")), "probe", t("dvs_functions"), "func_name", "name_tail", "func_id")
+
+
+simple("f07_by_layer", lambda t: _resolved(t).groupBy("layer").agg(F.countDistinct("probe").alias("n")), f"SELECT layer, count(DISTINCT probe) AS n FROM ({_LAYERS}) GROUP BY 1")
+simple("j06_callee_fan_out", lambda t: _resolved(t).groupBy("probe").agg(F.count("*").alias("n")), f"SELECT probe, count(*) AS n FROM ({_LAYERS}) GROUP BY 1")
+
+
+@query("j19_callers_of_resolved", f"SELECT l.func_id, count(DISTINCT e.source_func_id) AS callers FROM ({_LAYERS}) l JOIN dvs_task_graph_edges e ON e.target_function_raw = l.probe GROUP BY 1")
+def _(t):
+    """Distinct callers of each function, over the names that resolve to it; callers per name are combined first."""
+    callers = t("dvs_task_graph_edges").select(F.col("target_function_raw").alias("probe"), "source_func_id").distinct()
+    return _resolved(t).join(callers, "probe").groupBy("func_id").agg(F.countDistinct("source_func_id").alias("callers"))
+
+
+simple("l02_page_with_total", lambda t: ranking.page(t("dvs_functions").where("func_name is not null").select("func_name").distinct(), [F.asc("func_name")], 10, 10).withColumn("total", F.lit(t("dvs_functions").agg(F.countDistinct("func_name")).first()[0])), "SELECT func_name, (SELECT count(DISTINCT func_name) FROM dvs_functions) AS total FROM (SELECT DISTINCT func_name FROM dvs_functions WHERE func_name IS NOT NULL ORDER BY 1 LIMIT 10 OFFSET 10)")
+simple("w12_delete_events", lambda t: merge.cleared(t("events").select("event_id", "user_id"), t("events").where("event_type = 'error'").select("event_id"), "event_id"), "SELECT event_id, user_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')")
+
+# ---- not from the inventory: Spark's own windows, grouping sets and set operations on the event table
+simple("extra_tumbling_windows", lambda t: t("events").groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("w"), "event_type", "n"), "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01 00:00:00'), '%Y-%m-%d %H:%M:%S') AS w, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+simple("extra_session_windows", lambda t: t("events").groupBy("user_id", F.session_window("ts", "1 day")).agg(F.count("*").alias("n")).select("user_id", "n"), "SELECT user_id, n FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 DAY > ts THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2)")
+simple("extra_rollup", lambda t: t("lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")), "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+simple("extra_cube", lambda t: t("orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")), "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+simple("extra_set_operations", lambda t: t("orders").select(F.col("o_custkey").alias("k")).intersect(t("customer").select("c_custkey")).exceptAll(t("supplier").select("s_suppkey")), "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer EXCEPT SELECT s_suppkey FROM supplier")
+
 QUERIES = {k: v for k, v in _KNOWN.items() if k not in _before}
 SQL = {k: v for k, v in _KNOWN_SQL.items() if k in QUERIES}
