@@ -100,6 +100,13 @@ def expand_paths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFram
     return out
 
 
+def path_facts(paths: DataFrame, facts: DataFrame, fact: str) -> DataFrame:
+    """(path, facts): distinct facts that hold along a path, root to end, sorted. ``facts``: node, ``fact``."""
+    along = paths.select(F.array_join("path", ">").alias("path"), F.explode("path").alias("node")).distinct()
+    held = along.join(facts.where(F.col(fact).isNotNull()).select("node", fact).distinct(), "node")
+    return held.groupBy("path").agg(F.array_sort(F.collect_set(fact)).alias("facts"))
+
+
 def fold_state(steps: DataFrame, keys: list[str], order: list[str], clears: Column, starts: Column) -> DataFrame:
     """The ordered steps of a chain with their taint state, folded inside one array per chain.
 

@@ -58,7 +58,7 @@ def interval_join(points: DataFrame, ranges: DataFrame, file: str, line: str, st
     r = ranges.select(F.col(file).alias("_f"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(key).alias("_key"), blocks.alias("_b"))
     p = points.withColumn("_b", F.floor(F.col(line) / width))
     hit = p.join(r, (p[file] == r["_f"]) & (p["_b"] == r["_b"]) & p[line].between(r["_s"], r["_e"]), "left")
-    keys = [c for c in points.columns]
+    keys = points.columns
     found = hit.groupBy(*keys).agg(F.min_by("_key", F.struct("_s", "_e", "_key")).alias(key))
     none = F.concat(F.lit("<global:"), F.col(file), F.lit(":"), F.col(line), F.lit(">"))
     return found.withColumn(key, F.coalesce(key, none))

@@ -113,11 +113,15 @@ simple("g16_merged_steps", lambda t: graph.merge_steps(_steps(t), ["task_id", "t
 simple("g17_equal_paths", lambda t: graph.expand_paths(_call_edges(t), _call_roots(t), 2).where("depth = 2").groupBy(F.array_join("path", ">").alias("path")).agg(F.count("*").alias("n")), _PATHS.replace("w.depth < 3", "w.depth < 2") + " SELECT array_to_string(path, '>') AS path, count(*) AS n FROM w WHERE depth = 2 GROUP BY 1")
 
 
-@query("g18_path_validations", "WITH v AS (SELECT source_node_id AS node, list_sort(list_distinct(flatten(list(CAST(json_extract_string(validations_json, '$[*].summary') AS VARCHAR[]))))) AS vs FROM dvs_task_graph_edges WHERE json_valid(validations_json) AND source_node_id IS NOT NULL GROUP BY 1) SELECT node, len(vs) AS n, array_to_string(vs, '|') AS summaries FROM v WHERE len(vs) > 0")
+_SUMMARIES = "SELECT DISTINCT source_node_id AS node, unnest(CAST(json_extract_string(validations_json, '$[*].summary') AS VARCHAR[])) AS s FROM dvs_task_graph_edges WHERE json_valid(validations_json) AND source_node_id IS NOT NULL"
+
+
+@query("g18_path_validations", _PATHS.replace("w.depth < 3", "w.depth < 2") + f", v AS ({_SUMMARIES}), p AS (SELECT array_to_string(path, '>') AS path, unnest(path) AS node FROM w) SELECT path, string_agg(DISTINCT s, '|' ORDER BY s) AS summaries FROM p JOIN v ON v.node = p.node WHERE s IS NOT NULL GROUP BY 1")
 def _(t):
-    """Distinct validations that stand on the edges leaving a node."""
+    """Distinct validations accumulated along each call path of up to two links."""
     rows = t("dvs_task_graph_edges").where("source_node_id is not null").select(F.col("source_node_id").alias("node"), F.explode(F.from_json("validations_json", "array<struct<summary:string>>")).alias("v"))
-    return rows.where("v.summary is not null").groupBy("node").agg(F.array_sort(F.collect_set("v.summary")).alias("vs")).select("node", F.size("vs").cast("long").alias("n"), F.array_join("vs", "|").alias("summaries"))
+    paths = graph.expand_paths(_call_edges(t), _call_roots(t), 2)
+    return graph.path_facts(paths, rows.select("node", "v.summary"), "summary").select("path", F.array_join("facts", "|").alias("summaries"))
 
 
 simple("g19_rendered_chain", lambda t: t("dvs_task_graph_edges").where("validations_json is not null").groupBy("task_id").agg(F.array_sort(F.collect_set(F.struct("display_order", "edge_id"))).alias("x")).select("task_id", F.array_join(F.transform(F.slice("x", 1, 30), lambda s: s["edge_id"]), " > ").alias("chain")),

@@ -148,7 +148,7 @@ r AS (
     SELECT 'dag_edges', 'to_node', concat_ws('|', func_id, taint_signature, task_id, edge_id), CAST(to_node AS VARCHAR), loaded_at, concat_ws('|', fk, sk, tk, to_node)
     FROM e WHERE to_node IS NOT NULL AND NOT EXISTS (
         SELECT 1 FROM d WHERE d.fk = e.fk AND d.sk = e.sk AND d.tk = e.tk AND d.node_id = e.to_node))
-""".replace("\\\\", "\\")
+"""
 
 QUERIES = {
     "p1_found": p1_found,
