@@ -190,8 +190,8 @@ def _grow(start: DataFrame, step, keys: list[str], best: list[Column]) -> DataFr
         rounds += 1
         if rounds % 8 == 0:  # keep the plan short
             done = durable(joined)
-            release(*parts)
-            parts = [done]
+            release(*parts[:-1])  # the frontier is read again
+            parts = [done, frontier]
         else:
             done = joined
     return done

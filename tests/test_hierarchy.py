@@ -65,5 +65,19 @@ def test_distributed_equals_local(spark):
     assert set(big) == want and len(big) == len(want)
 
 
+def unsplit(mark, n):
+    """n names of which none is a splitter."""
+    return [x for x in (f"{mark}{k:03}" for k in range(3 * n)) if not H._is_splitter(x, H.SPLIT_EVERY)][:n]
+
+
+def test_distributed_long_walks_without_splitters(spark):
+    chain, ring = unsplit("c", 36), unsplit("r", 28)
+    links = set(zip(chain[1:], chain[:-1], strict=True)) | set(zip(ring, ring[1:] + ring[:1], strict=True))
+    df = spark.createDataFrame([("s", a, b) for a, b in links], "scope string, child string, parent string")
+    got = [tuple(r) for r in H.solve(df, local_links=0).collect()]
+    want = {("s", *x) for x in brute({x for link in links for x in link}, links)}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_empty(spark):
     assert H.solve(spark.createDataFrame([], "scope string, child string, parent string")).count() == 0
