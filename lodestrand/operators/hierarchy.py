@@ -30,6 +30,8 @@ from lodestrand.session import durable, release
 LOCAL_LINKS = 20_000
 SPLIT_EVERY = 8
 OUT_SCHEMA = "scope_key string, node_key string, root_key string, link_depth long"
+PATH_SCHEMA = OUT_SCHEMA + ", path array<string>"
+BELOW_SCHEMA = "scope_key string, node_key string, descendant_key string, link_depth long"
 
 
 # ---------------------------------------------------------------- one scope in memory
@@ -146,13 +148,51 @@ def solve_scope(named: set[str], links: set[tuple[str, str]], every: int = SPLIT
     return out + [(node, "", -1) for node in sorted(on_cycle)]
 
 
-def _solve_batches(every: int):
-    names = ["scope_key", "node_key", "root_key", "link_depth"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
+def scope_paths(named: set[str], links: set[tuple[str, str]], every: int = SPLIT_EVERY) -> Iterator[tuple[str, str, int, list[str]]]:
+    """(node, root, fewest links, path from the root to the node) of one scope.
+
+    Of several shortest paths the one counts whose last step, then the step before and so on, comes from
+    the smallest name. Only the predecessors are held; each path is expanded as it is given out.
+    """
+    parents: dict[str, list[str]] = defaultdict(list)
+    for child, parent in links:
+        parents[child].append(parent)
+    far = {(node, root): d for node, root, d in solve_scope(named, links, every) if d >= 0}
+    above = {(node, root): min(p for p in parents[node] if far.get((p, root)) == d - 1) for (node, root), d in far.items() if d}
+    for (node, root), d in far.items():
+        path = [node]
+        while len(path) <= d:
+            path.append(above[path[-1], root])
+        yield node, root, d, path[::-1]
+
+
+def scope_descendants(named: set[str], links: set[tuple[str, str]], every: int = SPLIT_EVERY) -> Iterator[tuple[str, str, int]]:
+    """(node, descendant, fewest links, at least one) of one scope; a node on a cycle is its own descendant."""
+    below: dict[str, list[str]] = defaultdict(list)
+    for child, parent in links:
+        below[parent].append(child)
+    for node in sorted(below):
+        seen, frontier, depth = set(), [node], 0
+        while frontier:
+            depth += 1
+            following = []
+            for at in frontier:
+                for down in below.get(at, ()):
+                    if down not in seen:
+                        seen.add(down)
+                        following.append(down)
+                        yield node, down, depth
+            frontier = following
+
+
+def _solve_batches(every: int, solver=solve_scope, schema: str = OUT_SCHEMA):
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[] for _ in names]
+            held = 0
             for scope, links in zip(batch.column("scope").to_pylist(), batch.column("links").to_pylist(), strict=True):
                 named, pairs = set(), set()
                 for link in links:
@@ -160,12 +200,13 @@ def _solve_batches(every: int):
                     named.update(x for x in (child, parent) if x is not None)
                     if child is not None and parent is not None:
                         pairs.add((child, parent))
-                for node, root, depth in solve_scope(named, pairs, every):
-                    for col, x in zip(cols, (scope, node, root, depth), strict=True):
+                for row in solver(named, pairs, every):
+                    for col, x in zip(cols, (scope, *row), strict=True):
                         col.append(x)
-                if len(cols[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-                    cols = [[], [], [], []]
+                    held += len(row[-1]) if isinstance(row[-1], list) else 1
+                    if held > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                        cols, held = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return run
@@ -197,54 +238,68 @@ def _grow(start: DataFrame, step, keys: list[str], best: list[Column]) -> DataFr
     return done
 
 
-def solve_distributed(links: DataFrame, every: int = SPLIT_EVERY) -> DataFrame:
-    """As ``solve_scope`` for all scopes at once, by joins. ``links``: scope, child, parent (ends may be NULL)."""
-    links = durable(links.distinct())
-    pairs = links.where("child is not null and parent is not null")
-    named = durable(
-        links.select("scope", F.col("child").alias("node")).unionAll(links.select("scope", F.col("parent").alias("node")))
-        .where("node is not null").distinct()
-    )
-    has_parent = pairs.select("scope", F.col("child").alias("node")).distinct()
-    roots = durable(named.join(has_parent, ["scope", "node"], "left_anti"))
-    stop = durable(named.where(_splits(F.col("node"), every)).unionAll(roots).distinct())
-    flagged = durable(
-        pairs.join(stop.select("scope", F.col("node").alias("parent"), F.lit(True).alias("stops")), ["scope", "parent"], "left")
-        .select("scope", F.col("child").alias("at"), F.col("parent").alias("up"), F.coalesce("stops", F.lit(False)).alias("stops"))
-    )
+class _Reduced:
+    """The walks and the reduced graph of all scopes. ``links``: scope, child, parent (ends may be NULL)."""
 
-    # Walks: (scope, node, at, stops, d); a walk goes on from non-splitters only. Rings of equal length come
-    # one after the other, so the first d of a pair is its fewest links.
-    first = flagged.select("scope", F.col("at").alias("node"), F.col("up").alias("at"), "stops", F.lit(1).alias("d"))
-
-    def climb(front: DataFrame) -> DataFrame:
-        on = front.where("not stops").select("scope", "node", "at", "d")
-        return on.join(flagged, ["scope", "at"]).select("scope", "node", F.col("up").alias("at"), flagged["stops"], (F.col("d") + 1).alias("d"))
-
-    walks = durable(_grow(first, climb, ["scope", "node", "at"], [F.first("stops").alias("stops"), F.min("d").alias("d")]))
-    met = walks.where("stops").select("scope", "node", F.col("at").alias("s"), "d")
-
-    # Reduced graph: distances of splitters to roots, relaxed until nothing improves.
-    reduced = durable(met.join(stop, ["scope", "node"], "left_semi").select("scope", F.col("node").alias("a"), F.col("s").alias("b"), "d"))
-    dist = durable(roots.select("scope", F.col("node").alias("a"), F.col("node").alias("root"), F.lit(0).alias("far")))
-    changed = dist
-    while not changed.isEmpty():
-        offer = (
-            changed.withColumnRenamed("a", "b").join(reduced, ["scope", "b"])
-            .groupBy("scope", "a", "root").agg(F.min(F.col("far") + F.col("d")).alias("far"))
+    def __init__(self, links: DataFrame, every: int):
+        links = durable(links.distinct())
+        self.pairs = links.where("child is not null and parent is not null")
+        named = durable(
+            links.select("scope", F.col("child").alias("node")).unionAll(links.select("scope", F.col("parent").alias("node")))
+            .where("node is not null").distinct()
         )
-        merged = durable(
-            dist.withColumn("new", F.lit(0)).unionByName(offer.withColumn("new", F.lit(1))).groupBy("scope", "a", "root")
-            .agg(F.min("far").alias("far"), F.min(F.when(F.col("new") == 0, F.col("far"))).alias("was"))
+        has_parent = self.pairs.select("scope", F.col("child").alias("node")).distinct()
+        self.roots = durable(named.join(has_parent, ["scope", "node"], "left_anti"))
+        self.stop = stop = durable(named.where(_splits(F.col("node"), every)).unionAll(self.roots).distinct())
+        flagged = durable(
+            self.pairs.join(stop.select("scope", F.col("node").alias("parent"), F.lit(True).alias("stops")), ["scope", "parent"], "left")
+            .select("scope", F.col("child").alias("at"), F.col("parent").alias("up"), F.coalesce("stops", F.lit(False)).alias("stops"))
+        )
+
+        # Walks: (scope, node, at, stops, d); a walk goes on from non-splitters only. Rings of equal length come
+        # one after the other, so the first d of a pair is its fewest links.
+        first = flagged.select("scope", F.col("at").alias("node"), F.col("up").alias("at"), "stops", F.lit(1).alias("d"))
+
+        def climb(front: DataFrame) -> DataFrame:
+            on = front.where("not stops").select("scope", "node", "at", "d")
+            return on.join(flagged, ["scope", "at"]).select("scope", "node", F.col("up").alias("at"), flagged["stops"], (F.col("d") + 1).alias("d"))
+
+        self.walks = durable(_grow(first, climb, ["scope", "node", "at"], [F.first("stops").alias("stops"), F.min("d").alias("d")]))
+        self.met = self.walks.where("stops").select("scope", "node", F.col("at").alias("s"), "d")
+        self.edges = durable(self.met.join(stop, ["scope", "node"], "left_semi").select("scope", F.col("node").alias("a"), F.col("s").alias("b"), "d"))
+
+    def distances(self, ends: DataFrame) -> DataFrame:
+        """(scope, a, root, far) of splitters to ``ends`` (scope, node) above them, relaxed until nothing improves."""
+        dist = durable(ends.select("scope", F.col("node").alias("a"), F.col("node").alias("root"), F.lit(0).alias("far")))
+        changed = dist
+        while not changed.isEmpty():
+            offer = (
+                changed.withColumnRenamed("a", "b").join(self.edges, ["scope", "b"])
+                .groupBy("scope", "a", "root").agg(F.min(F.col("far") + F.col("d")).alias("far"))
+            )
+            merged = durable(
+                dist.withColumn("new", F.lit(0)).unionByName(offer.withColumn("new", F.lit(1))).groupBy("scope", "a", "root")
+                .agg(F.min("far").alias("far"), F.min(F.when(F.col("new") == 0, F.col("far"))).alias("was"))
+            )
+            changed = merged.where("was is null or far < was").select("scope", "a", "root", "far")
+            dist, before = merged.select("scope", "a", "root", "far"), dist
+            release(before)
+        return dist
+
+    def through(self) -> DataFrame:
+        """(scope, node, root, far) of every node to every root above it."""
+        dist = self.distances(self.roots)
+        others = self.met.join(self.stop, ["scope", "node"], "left_anti").withColumnRenamed("s", "a")
+        return (
+            others.join(dist, ["scope", "a"]).groupBy("scope", "node", "root").agg(F.min(F.col("d") + F.col("far")).alias("far"))
+            .unionByName(dist.withColumnRenamed("a", "node"))
         )
-        changed = merged.where("was is null or far < was").select("scope", "a", "root", "far")
-        dist, before = merged.select("scope", "a", "root", "far"), dist
-        release(before)
-    others = met.join(stop, ["scope", "node"], "left_anti").withColumnRenamed("s", "a")
-    through = (
-        others.join(dist, ["scope", "a"]).groupBy("scope", "node", "root").agg(F.min(F.col("d") + F.col("far")).alias("far"))
-        .unionByName(dist.withColumnRenamed("a", "node"))
-    )
+
+
+def solve_distributed(links: DataFrame, every: int = SPLIT_EVERY) -> DataFrame:
+    """As ``solve_scope`` for all scopes at once, by joins. ``links``: scope, child, parent (ends may be NULL)."""
+    g = _Reduced(links, every)
+    walks, met, reduced, through = g.walks, g.met, g.edges, g.through()
 
     # Cycles: components of the reduced graph, then the non-splitters that walks between them pass.
     label = _labels(reduced)
@@ -261,6 +316,36 @@ def solve_distributed(links: DataFrame, every: int = SPLIT_EVERY) -> DataFrame:
     ).unionAll(cycles.select("scope", "node", F.lit(""), F.lit(-1).cast("long")))
 
 
+def paths_distributed(links: DataFrame, every: int = SPLIT_EVERY) -> DataFrame:
+    """As ``scope_paths`` for all scopes at once: the pieces of a path double each round, along predecessors."""
+    g = _Reduced(links, every)
+    far = durable(g.through().select("scope", "node", "root", F.col("far").cast("long").alias("far")))
+    above = (
+        far.join(g.pairs.withColumnRenamed("child", "node"), ["scope", "node"])
+        .join(far.select("scope", F.col("node").alias("parent"), "root", (F.col("far") + 1).alias("far")), ["scope", "parent", "root", "far"])
+        .groupBy("scope", "node", "root").agg(F.min("parent").alias("up"))
+    )
+    piece = durable(far.join(above, ["scope", "node", "root"], "left").select("scope", "node", "root", "far", "up", F.array("node").alias("path")))
+    whole, unfinished = piece.where("up is null"), piece.where("up is not null")
+    while not unfinished.isEmpty():
+        upper = whole.unionByName(unfinished).select("scope", "root", F.col("node").alias("up"), F.col("up").alias("upper"), F.col("path").alias("head"))
+        step = durable(unfinished.join(upper, ["scope", "root", "up"]).select(
+            "scope", "node", "root", "far", F.col("upper").alias("up"), F.concat("head", "path").alias("path")))
+        whole, unfinished = whole.unionByName(step.where("up is null")), step.where("up is not null")
+    return whole.select(F.col("scope").alias("scope_key"), F.col("node").alias("node_key"), F.col("root").alias("root_key"), F.col("far").alias("link_depth"), "path")
+
+
+def descendants_distributed(links: DataFrame, every: int = SPLIT_EVERY) -> DataFrame:
+    """As ``scope_descendants`` for all scopes at once: walk to a splitter, splitter to splitter, walk from there."""
+    g = _Reduced(links, every)
+    between = g.met.withColumnRenamed("s", "a").join(g.distances(g.stop), ["scope", "a"])
+    reached = between.groupBy("scope", "node", "root").agg(F.min(F.col("d") + F.col("far")).alias("far"))
+    beyond = reached.withColumnRenamed("root", "s").join(g.walks.select("scope", F.col("node").alias("s"), "at", "d"), ["scope", "s"])
+    pairs = g.walks.select("scope", "node", "at", "d").unionAll(beyond.select("scope", "node", "at", F.col("far") + F.col("d")))
+    return pairs.groupBy(F.col("scope").alias("scope_key"), F.col("at").alias("node_key"), F.col("node").alias("descendant_key")).agg(
+        F.min("d").cast("long").alias("link_depth"))
+
+
 def _labels(edges: DataFrame) -> DataFrame:
     """Component label (scope, a, label) of each vertex on a directed path between vertices of ``edges``.
 
@@ -326,15 +411,29 @@ def _reach(seeds: DataFrame, inside: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- both together
 
 
-def solve(links: DataFrame, local_links: int = LOCAL_LINKS, every: int = SPLIT_EVERY) -> DataFrame:
-    """(scope_key, node_key, root_key, link_depth) of ``links``: scope, child, parent (an end may be NULL).
-
-    Fewest links from each node to each root it is reached from; root_key '' and -1 for nodes on a cycle.
-    """
+def _both(links: DataFrame, local_links: int, every: int, solver, schema: str, distributed) -> DataFrame:
     links = links.select("scope", "child", "parent").where("scope is not null and (child is not null or parent is not null)")
     large = links.groupBy("scope").count().where(F.col("count") > local_links).select("scope")
     hot = not large.isEmpty()
     small = links.join(large, "scope", "left_anti") if hot else links
     packed = small.groupBy("scope").agg(F.collect_list(F.struct("child", "parent")).alias("links"))
-    out = packed.mapInArrow(_solve_batches(every), OUT_SCHEMA)
-    return out.unionAll(solve_distributed(links.join(large, "scope", "left_semi"), every)) if hot else out
+    out = packed.mapInArrow(_solve_batches(every, solver, schema), schema)
+    return out.unionAll(distributed(links.join(large, "scope", "left_semi"), every)) if hot else out
+
+
+def solve(links: DataFrame, local_links: int = LOCAL_LINKS, every: int = SPLIT_EVERY) -> DataFrame:
+    """(scope_key, node_key, root_key, link_depth) of ``links``: scope, child, parent (an end may be NULL).
+
+    Fewest links from each node to each root it is reached from; root_key '' and -1 for nodes on a cycle.
+    """
+    return _both(links, local_links, every, solve_scope, OUT_SCHEMA, solve_distributed)
+
+
+def paths(links: DataFrame, local_links: int = LOCAL_LINKS, every: int = SPLIT_EVERY) -> DataFrame:
+    """(scope_key, node_key, root_key, link_depth, path): a shortest path from each root to each node it reaches."""
+    return _both(links, local_links, every, scope_paths, PATH_SCHEMA, paths_distributed)
+
+
+def descendants(links: DataFrame, local_links: int = LOCAL_LINKS, every: int = SPLIT_EVERY) -> DataFrame:
+    """(scope_key, node_key, descendant_key, link_depth): every node below each node, by the fewest links."""
+    return _both(links, local_links, every, scope_descendants, BELOW_SCHEMA, descendants_distributed)

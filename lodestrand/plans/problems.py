@@ -100,18 +100,35 @@ def dag_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth below every root of all nodes of call links and DAG parent lists, and the nodes on cycles."""
-    both = call_links(spark, sf_dir).select(F.concat(F.lit("e"), "scope").alias("scope"), "child", "parent").unionAll(
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return call_links(spark, sf_dir).select(F.concat(F.lit("e"), "scope").alias("scope"), "child", "parent").unionAll(
         dag_links(spark, sf_dir).select(F.concat(F.lit("d"), "scope").alias("scope"), "child", "parent")
     )
+
+
+def _by_table(solved: DataFrame) -> DataFrame:
     first = F.substring("scope_key", 1, 1)
-    return hierarchy.solve(both).select(
+    return solved.select(
         F.when(first == "e", "dvs_task_graph_edges").otherwise("dag_nodes").alias("src_table"),
-        F.expr("substring(scope_key, 2)").alias("scope_key"), "node_key", "root_key", "link_depth",
+        F.expr("substring(scope_key, 2)").alias("scope_key"), *[c for c in solved.columns if c != "scope_key"],
     )
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth below every root of all nodes of call links and DAG parent lists, and the nodes on cycles."""
+    return _by_table(hierarchy.solve(_links(spark, sf_dir)))
+
+
+def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest path from every root to each node it reaches, root first."""
+    return _by_table(hierarchy.paths(_links(spark, sf_dir)))
+
+
+def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every descendant of each node, with the fewest links to it."""
+    return _by_table(hierarchy.descendants(_links(spark, sf_dir)))
+
+
 def p5_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One consistent table of all facts of the golden files."""
     return drift.facts(table(spark, sf_dir, "expected_dag"))
@@ -158,6 +175,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_facts": p5_facts,
     "p6_found": p6_found,
+    "p6_paths": p6_paths,
+    "p6_descendants": p6_descendants,
 }
 SQL = {
     "p4_found": _P4_SQL + "SELECT DISTINCT ref_table, ref_field, ref_key, missing_key FROM r",

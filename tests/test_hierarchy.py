@@ -79,5 +79,63 @@ def test_distributed_long_walks_without_splitters(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def brute_paths(named, links):
+    """(node, root, depth, path): shortest paths, of equal ones the smallest when read from the node up."""
+    up = {}
+    for c, p in links:
+        up.setdefault(c, set()).add(p)
+    best = {}
+    for node, root, d in brute(named, links):
+        if d >= 0:
+            level = [(node,)]
+            for _ in range(d):
+                level = [(*path, p) for path in level for p in up.get(path[-1], ())]
+            best[node, root] = (node, root, d, min(path for path in level if path[-1] == root)[::-1])
+    return set(best.values())
+
+
+def brute_descendants(links):
+    out = {}
+    for start in {p for _, p in links}:
+        level, depth = {start}, 0
+        while level:
+            depth += 1
+            level = {c for c, p in links if p in level and (start, c) not in out}
+            out |= {(start, c): depth for c in level}
+    return {(a, b, d) for (a, b), d in out.items()}
+
+
+def test_paths_and_descendants_in_memory():
+    rnd = random.Random(11)
+    for _ in range(300):
+        links = sample(rnd, rnd.randint(1, 12))
+        named = {x for link in links for x in link} | {"z"}
+        got = [(n, r, d, tuple(p)) for n, r, d, p in H.scope_paths(named, links, rnd.choice([2, 4, 8]))]
+        assert set(got) == brute_paths(named, links) and len(got) == len(set(got))
+        got = list(H.scope_descendants(named, links))
+        assert set(got) == brute_descendants(links) and len(got) == len(set(got))
+
+
+def test_paths_and_descendants_distributed(spark):
+    rnd = random.Random(13)
+    chain, ring = unsplit("c", 12), unsplit("r", 5)
+    links = [sample(rnd, 14), set(zip(chain[1:], chain[:-1], strict=True)) | set(zip(ring, ring[1:] + ring[:1], strict=True)) | {("r9", chain[3]), (ring[0], chain[5])}]
+    rows = [(f"s{k}", a, b) for k, some in enumerate(links) for a, b in some] + [("s0", "lonely", None), (None, "a", "b")]
+    df = spark.createDataFrame(rows, "scope string, child string, parent string")
+    paths = {("s0", "lonely", "lonely", 0, ("lonely",))} | {(f"s{k}", *x) for k, some in enumerate(links) for x in brute_paths({n for link in some for n in link}, some)}
+    below = {(f"s{k}", *x) for k, some in enumerate(links) for x in brute_descendants(some)}
+    for local_links in (H.LOCAL_LINKS, 0):
+        got = [(r.scope_key, r.node_key, r.root_key, r.link_depth, tuple(r.path)) for r in H.paths(df, local_links, 4).collect()]
+        assert set(got) == paths and len(got) == len(paths)
+        got = [tuple(r) for r in H.descendants(df, local_links, 4).collect()]
+        assert set(got) == below and len(got) == len(below)
+
+
+def test_paths_and_descendants_are_queries():
+    import __spark_entry__ as entry
+
+    assert {"p6_paths", "p6_descendants"} <= set(entry.queries())
+
+
 def test_empty(spark):
     assert H.solve(spark.createDataFrame([], "scope string, child string, parent string")).count() == 0
