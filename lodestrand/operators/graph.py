@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -100,6 +101,80 @@ def expand_paths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFram
     return out
 
 
+def _path_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"scope": pa.string(), "node": pa.string(), "depth": pa.int32(), "path": pa.list_(pa.string()), "cycle": pa.bool_()}
+    pack = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
+    for batch in batches:
+        cols: list[list] = [[], [], [], [], []]
+        held = 0
+        for scope, links, roots in zip(*(batch.column(n).to_pylist() for n in ("scope", "links", "roots")), strict=True):
+            below = defaultdict(list)
+            for link in links or ():
+                below[link["src"]].append(link["dst"])
+            for root in roots or ():
+                path: list[str] = []
+                todo = [(root, 0)]  # depth first: one open path is held at a time
+                while todo:
+                    node, depth = todo.pop()
+                    del path[depth:]
+                    cycle = node in path
+                    path.append(node)
+                    for col, x in zip(cols, (scope, node, depth, list(path), cycle), strict=True):
+                        col.append(x)
+                    held += depth + 1
+                    if not cycle:
+                        todo += [(x, depth + 1) for x in below.get(node, ())]
+                    if held > 50_000:
+                        yield pack(cols)
+                        cols, held = [[], [], [], [], []], 0
+        yield pack(cols)
+
+
+def all_paths(edges: DataFrame, roots: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """As ``expand_paths`` without a bound, until no open path is left.
+
+    Scopes with at most ``local_links`` links are expanded one per row after one shuffle; larger ones round by
+    round over the cluster.
+    """
+    edges = durable(edges.select("scope", "src", "dst").where("scope is not null and src is not null and dst is not null").distinct())
+    roots = roots.select("scope", "node").where("scope is not null and node is not null").distinct()
+    large = edges.groupBy("scope").count().where(F.col("count") > local_links).select("scope")
+    hot = not large.isEmpty()
+    small = edges.join(large, "scope", "left_anti") if hot else edges
+    small_roots = roots.join(large, "scope", "left_anti") if hot else roots
+    packed = small_roots.groupBy("scope").agg(F.collect_list("node").alias("roots")).join(
+        small.groupBy("scope").agg(F.collect_list(F.struct("src", "dst")).alias("links")), "scope", "left")
+    out = packed.mapInArrow(_path_batches, "scope string, node string, depth int, path array<string>, cycle boolean")
+    if not hot:
+        return out
+    return out.unionAll(_path_rounds(edges.join(large, "scope", "left_semi"), roots.join(large, "scope", "left_semi")))
+
+
+def _path_rounds(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    edges = durable(edges)
+    front = durable(roots.select("scope", "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(False).alias("cycle")))
+    whole, parts = None, []  # parts: the levels since the last table of several
+    while not front.isEmpty():
+        parts.append(front)
+        open_ = front.where("not cycle").select("scope", F.col("node").alias("src"), "depth", "path")
+        front = durable(open_.join(edges, ["scope", "src"]).select(
+            "scope", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("dst")).alias("path"), F.array_contains("path", F.col("dst")).alias("cycle")))
+        if len(parts) == 16:  # keep the plan short
+            some = durable(reduce(DataFrame.unionAll, parts))
+            release(*parts)
+            whole, parts = some if whole is None else whole.unionAll(some), []
+    return reduce(DataFrame.unionAll, [*([] if whole is None else [whole]), *parts])
+
+
+def all_path_facts(paths: DataFrame, facts: DataFrame, fact: str) -> DataFrame:
+    """As ``path_facts`` for long paths: their nodes are joined under a number instead of the whole path."""
+    numbered = durable(paths.select("path").distinct().withColumn("_id", F.monotonically_increasing_id()))
+    along = numbered.select("_id", F.explode("path").alias("node"))
+    held = along.join(facts.where(F.col(fact).isNotNull()).select("node", fact).distinct(), "node")
+    found = held.groupBy("_id").agg(F.array_sort(F.collect_set(fact)).alias("facts"))
+    return numbered.join(found, "_id").select("path", "facts")
+
+
 def path_facts(paths: DataFrame, facts: DataFrame, fact: str) -> DataFrame:
     """(path, facts): distinct facts that hold along a path, root to end, sorted. ``facts``: node, ``fact``."""
     along = paths.select(F.array_join("path", ">").alias("path"), F.explode("path").alias("node")).distinct()

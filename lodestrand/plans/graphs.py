@@ -62,6 +62,12 @@ def _(t):
     return graph.expand_paths(_call_edges(t), _call_roots(t), 3).select("scope", "node", "depth", F.array_join("path", ">").alias("path"), "cycle")
 
 
+@query("g04_whole_path_tree")
+def _(t):
+    """Tree of all call paths, cut only where a path meets itself."""
+    return graph.all_paths(_call_edges(t), _call_roots(t)).select("scope", "node", "depth", F.array_join("path", ">").alias("path"), "cycle")
+
+
 @query("g05_first_visit_tree", _REACH + " SELECT m.scope, m.node, m.depth, min(CASE WHEN p.depth = m.depth - 1 THEN e.src END) AS parent FROM m LEFT JOIN e ON e.scope = m.scope AND e.dst = m.node LEFT JOIN m p ON p.scope = e.scope AND p.node = e.src GROUP BY 1, 2, 3")
 def _(t):
     return graph.first_visit(_call_edges(t), _call_roots(t))
@@ -111,6 +117,7 @@ def _steps(t):
 simple("g16_merged_steps", lambda t: graph.merge_steps(_steps(t), ["task_id", "target_func_id"]).select("task_id", "target_func_id", F.array_join("names", ",").alias("names"), F.size("positions").alias("n_pos"), "line", "merged"),
        "SELECT task_id, target_func_id, coalesce(string_agg(DISTINCT target_taint_name, ',' ORDER BY target_taint_name), '') AS names, CAST(count(DISTINCT display_order) AS INT) AS n_pos, min(CASE WHEN call_line > 0 THEN call_line END) AS line, count(*) AS merged FROM dvs_task_graph_edges WHERE target_func_id <> '' GROUP BY 1, 2")
 simple("g17_equal_paths", lambda t: graph.expand_paths(_call_edges(t), _call_roots(t), 2).where("depth = 2").groupBy(F.array_join("path", ">").alias("path")).agg(F.count("*").alias("n")), _PATHS.replace("w.depth < 3", "w.depth < 2") + " SELECT array_to_string(path, '>') AS path, count(*) AS n FROM w WHERE depth = 2 GROUP BY 1")
+simple("g17_whole_equal_paths", lambda t: graph.all_paths(_call_edges(t), _call_roots(t)).where("depth > 0").groupBy(F.array_join("path", ">").alias("path")).agg(F.count("*").alias("n")))
 
 
 _SUMMARIES = "SELECT DISTINCT source_node_id AS node, unnest(CAST(json_extract_string(validations_json, '$[*].summary') AS VARCHAR[])) AS s FROM dvs_task_graph_edges WHERE json_valid(validations_json) AND source_node_id IS NOT NULL"
@@ -124,6 +131,14 @@ def _(t):
     return graph.path_facts(paths, rows.select("node", "v.summary"), "summary").select("path", F.array_join("facts", "|").alias("summaries"))
 
 
+@query("g18_whole_path_validations")
+def _(t):
+    """Distinct validations accumulated along each call path of any length."""
+    rows = t("dvs_task_graph_edges").where("source_node_id is not null").select(F.col("source_node_id").alias("node"), F.explode(F.from_json("validations_json", "array<struct<summary:string>>")).alias("v"))
+    facts = graph.all_path_facts(graph.all_paths(_call_edges(t), _call_roots(t)), rows.select("node", "v.summary"), "summary")
+    return facts.select(F.array_join("path", ">").alias("path"), F.array_join("facts", "|").alias("summaries"))
+
+
 simple("g19_rendered_chain", lambda t: t("dvs_task_graph_edges").where("validations_json is not null").groupBy("task_id").agg(F.array_sort(F.collect_set(F.struct("display_order", "edge_id"))).alias("x")).select("task_id", F.array_join(F.transform(F.slice("x", 1, 30), lambda s: s["edge_id"]), " > ").alias("chain")),
        "SELECT task_id, array_to_string(list_slice(list_transform(list_sort(list(DISTINCT {'o': display_order, 'e': edge_id})), lambda s: s.e), 1, 30), ' > ') AS chain FROM dvs_task_graph_edges WHERE validations_json IS NOT NULL GROUP BY 1")
 simple("g20_hints", lambda t: t("dvs_task_graph_edges").where("reason_code is not null").groupBy("source_func_id").agg(F.array_join(F.array_sort(F.collect_set("reason_code")), ",").alias("hints")), "SELECT source_func_id, string_agg(DISTINCT reason_code, ',' ORDER BY reason_code) AS hints FROM dvs_task_graph_edges WHERE reason_code IS NOT NULL GROUP BY 1")
@@ -132,6 +147,7 @@ simple("g23_relays", lambda t: t("dag_edges").where("kind = 'extern' and escape_
 simple("g24_session_spawns", lambda t: t("dvs_task_graph_sessions").where("edge_id is not null").select("session_relpath", "edge_id").distinct().join(t("dvs_task_graph_edges").select("edge_id", "source_node_id").distinct(), "edge_id").join(t("dvs_task_graph_sessions").where("node_id is not null").groupBy(F.col("node_id").alias("source_node_id")).agg(F.min("session_relpath").alias("parent")), "source_node_id").select("session_relpath", "parent").distinct(),
        "SELECT DISTINCT s.session_relpath, p.parent FROM dvs_task_graph_sessions s JOIN dvs_task_graph_edges e ON e.edge_id = s.edge_id JOIN (SELECT node_id, min(session_relpath) AS parent FROM dvs_task_graph_sessions WHERE node_id IS NOT NULL GROUP BY 1) p ON p.node_id = e.source_node_id")
 simple("g25_flat_tree", lambda t: graph.expand_paths(_call_edges(t), _call_roots(t), 2).groupBy("scope", "depth", "cycle").agg(F.count("*").alias("n")), _PATHS.replace("w.depth < 3", "w.depth < 2") + " SELECT scope, depth, cycle, count(*) AS n FROM w GROUP BY 1, 2, 3")
+simple("g25_whole_flat_tree", lambda t: graph.all_paths(_call_edges(t), _call_roots(t)).groupBy("scope", "depth", "cycle").agg(F.count("*").alias("n")))
 
 # ---- merges: rows loaded before 2025 are the old table, later ones the new
 _CUT = "timestamp'2025-01-01 00:00:00'"
