@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrand.functions import scalar as X
-from lodestrand.operators import graph, lookup, merge, state
+from lodestrand.functions.keys import func_key, taint_key, task_key
+from lodestrand.operators import chains, graph, lookup, merge, state
 from lodestrand.plans.relational import QUERIES as _KNOWN
 from lodestrand.plans.relational import SQL as _KNOWN_SQL
 from lodestrand.plans.relational import query, simple
@@ -94,6 +95,37 @@ _CHAIN = "SELECT func_id, task_id, CAST(row_number() OVER w - 1 AS INT) AS step,
 simple("g09_chain_fold", lambda t: graph.fold_state(t("dag_edges").select("func_id", "task_id", F.coalesce("line", F.lit(0)).alias("ln"), "edge_id", F.coalesce("kind", F.lit("")).alias("kd")).distinct(), ["func_id", "task_id"], ["ln", "edge_id", "kd"], F.col("kd") == "return", F.col("kd") == "source"), _CHAIN)
 simple("g10_final_state", lambda t: graph.fold_state(t("dag_edges").select("func_id", "task_id", F.coalesce("line", F.lit(0)).alias("ln"), "edge_id", F.coalesce("kind", F.lit("")).alias("kd")).distinct(), ["func_id", "task_id"], ["ln", "edge_id", "kd"], F.col("kd") == "return", F.col("kd") == "source").groupBy("func_id", "task_id").agg(F.max_by("state", "step").alias("state")),
        f"SELECT func_id, task_id, arg_max(state, step) AS state FROM ({_CHAIN}) GROUP BY 1, 2")
+
+
+def _chains(t, expand):
+    keys = [task_key("task_id").alias("task_id"), func_key("func_id").alias("func_id"), taint_key("taint_signature").alias("taint_signature")]
+    sanitized = F.get_json_object("prune_json", "$.reason") == "sanitized"
+    no_parent = F.regexp_extract(F.coalesce("parents_json", F.lit("")), "-?\\d+", 0) == ""
+    nodes = t("dag_nodes").where("node_id is not null").select(*keys, "node_id", "line", no_parent.alias("top"), (F.coalesce("is_source", F.lit(0)) == 1).alias("src"), F.when(sanitized, F.trim("taint")).alias("clean"))
+    nodes = nodes.groupBy("task_id", "func_id", "taint_signature", "node_id").agg(F.min("line").alias("line"), (F.bool_and("top") | F.bool_or("src")).alias("entry"), F.collect_set("clean").alias("sanitized"))
+    params = F.from_json("param_taints_json", "array<struct<param:string,taint:string>>")
+    param = F.trim(F.get(params, F.lit(0))["param"])
+    edges = t("dag_edges").select(
+        *keys, "edge_id", "from_node", "line", F.coalesce("kind", F.lit("")).alias("kind"), "sink_ref", param.alias("param"), taint_key(param).alias("param_key"),
+        F.coalesce(F.exists(params, lambda p: (F.trim(p["param"]) != "") & ~F.startswith(F.trim(p["param"]), F.lit("("))), F.lit(False)).alias("has_param"), F.from_json("taints_json", "array<string>").alias("taints"))
+    names = lookup.layered_lookup(t("dag_edges").where("kind = 'callee'").select(F.col("sink_ref").alias("probe")), "probe", t("dvs_functions"), "func_name", "name_tail", "func_id")
+    one = names.groupBy(F.col("probe").alias("sink_ref")).agg(F.min(func_key("func_id")).alias("callee"))
+    return chains.chains(nodes, edges.join(one, "sink_ref", "left"), expand=expand)
+
+
+@query("g09_whole_chains")
+def _(t):
+    """Chains of every taint graph with the chains of the called graphs, eight calls deep, and the state along them."""
+    return _chains(t, True)
+
+
+@query("g10_whole_final_state")
+def _(t):
+    """State at the end of every taint graph, with the effect of each callee looked up."""
+    last = F.struct(F.col("step").cast("int").alias("k"), "state")
+    return _chains(t, False).groupBy("task_id", "func_id", "taint_signature").agg(F.max(last)["state"].alias("state"))
+
+
 _K = ["func_id", "taint_signature", "task_id"]
 simple("g11_callee_effect", lambda t: graph.callee_effect(t("dag_nodes").withColumn("sanitized", F.coalesce(F.get_json_object("prune_json", "$.reason") == "sanitized", F.lit(False))), t("dag_edges"), _K),
        "SELECT n.func_id, n.taint_signature, n.task_id, CASE WHEN s THEN 'sanitized' WHEN r THEN 'return' WHEN p THEN 'propagate' ELSE 'unchanged' END AS effect FROM (SELECT func_id, taint_signature, task_id, bool_or(coalesce(contains(prune_json, '\"reason\": \"sanitized\"'), false)) AS s FROM dag_nodes GROUP BY ALL) n LEFT JOIN (SELECT func_id, taint_signature, task_id, bool_or(kind = 'return') AS r, bool_or(kind = 'callee') AS p FROM dag_edges GROUP BY ALL) e USING (func_id, taint_signature, task_id)")
