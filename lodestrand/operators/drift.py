@@ -262,12 +262,26 @@ def _branches(value: object) -> tuple:
     return text, value if isinstance(value, str) else None, number, flag, items
 
 
+def _loose(top: dict) -> Iterator[tuple[str, str, int, object]]:
+    """(level, owner, place in its list, value) of the elements of nodes and edges that are no objects."""
+    for owner, dag in levels_of(top)["dag"]:
+        for level in ("nodes", "edges"):
+            items = dag.get(level)
+            yield from ((level, owner, k, x) for k, x in enumerate(items if isinstance(items, list) else ()) if not isinstance(x, dict))
+
+
+def _parseable_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.take(pa.array([k for k, body in enumerate(batch.column("body").to_pylist()) if parse(body) is not None], pa.int64()))
+
+
 def facts(files: DataFrame) -> DataFrame:
     """Every field of every object of every parseable version under one name: FACT_SCHEMA.
 
     ``type_tag`` tells which typed branch holds the value as written; ``value`` is its canonical text, equal for
     all types it was ever written with. Nulls and empty values keep their row with a NULL value. The nested
-    lists of nodes and edges are levels of their own and no fields.
+    lists of nodes and edges are levels of their own and no fields; an element of theirs that is no object has
+    the field '' and its place in the list as obj_no.
     """
     shapes = durable(profiles(files))
     pairs = with_previous(shapes, "case_id", "case_version", "profile", "before").where("before is not null")
@@ -277,10 +291,12 @@ def facts(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for case, version, body in zip(*(batch.column(n).to_pylist() for n in ("case_id", "case_version", "body")), strict=True):
-                for level, objects in levels_of(parse(body) or {}).items():
+                top = parse(body)
+                rows += [(case, version, level, owner, at, "", tag(x), *_branches(x)) for level, owner, at, x in _loose(top)]
+                for level, objects in levels_of(top).items():
                     for at, (owner, obj) in enumerate(objects):
                         for name, value in obj.items():
-                            if not name.startswith(PREFIX) and not (level == "dag" and name in ("nodes", "edges")):
+                            if not name.startswith(PREFIX) and not (level == "dag" and name in ("nodes", "edges") and (value is None or isinstance(value, list))):
                                 rows.append((case, version, level, owner, at, names.get((level, name), name), tag(value), *_branches(value)))
             fields = [
                 pa.field("case_id", pa.int64()), pa.field("case_version", pa.int32()), pa.field("obj_level", pa.string()), pa.field("owner", pa.string()),
@@ -290,9 +306,10 @@ def facts(files: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)], schema=pa.schema(fields))
 
-    rank = F.struct(F.col("loaded_at").cast("long"), F.col("file_id").cast("long"))
-    good = F.col("body").isNotNull() & F.try_parse_json("body").isNotNull()
-    latest = files.where("case_id is not null and case_version is not null").where(good).groupBy(
-        F.col("case_id").cast("long").alias("case_id"), F.col("case_version").cast("int").alias("case_version")
-    ).agg(F.max_by(F.col("body").cast("string"), rank).alias("body"))
+    rank = F.struct(F.col("loaded_at").cast("long").alias("t"), F.col("file_id").cast("long").alias("f"))
+    source = files.where("case_id is not null and case_version is not null and body is not null").select(
+        F.col("case_id").cast("long"), F.col("case_version").cast("int"), rank.alias("rank"), F.col("body").cast("string")
+    )
+    good = source.mapInArrow(_parseable_batches, "case_id long, case_version int, rank struct<t:bigint,f:bigint>, body string")
+    latest = good.groupBy("case_id", "case_version").agg(F.max_by("body", "rank").alias("body"))
     return latest.mapInArrow(run, FACT_SCHEMA)

@@ -73,3 +73,14 @@ def test_facts_have_one_name_and_typed_branches(spark):
     taints = [r for r in got if r["obj_level"] == "edges" and r["field"] == "taint" and r["obj_no"] == 0]
     assert {(r["type_tag"], r["value"]) for r in taints} == {("string", "a"), ("array<string>", "a")}
     assert D.facts(df.limit(0)).count() == 0
+
+
+def test_facts_take_the_latest_object_body_and_loose_elements(spark):
+    late = datetime(2024, 1, 2)
+    bodies = [(1, 1, json.dumps(dag(gap="old")), T0), *[(k, 1, body, late) for k, body in enumerate(("null", "[]", '"text"', "3"), 2)],
+              (6, 2, '{"weight": NaN, "gap": "x"}', T0), (7, 3, '{"nodes": [7, {"id": 1}, "n"], "edges": "none"}', T0)]
+    df = spark.createDataFrame([(k, 1, v, body, at) for k, v, body, at in bodies], "file_id long, case_id long, case_version int, body string, loaded_at timestamp")
+    got = {(r["case_version"], r["obj_level"], r["field"], r["obj_no"]): r["value"] for r in D.facts(df).collect()}
+    assert got[1, "dag", "gap", 0] == "old" and got[2, "dag", "gap", 0] == "x" and (2, "dag", "weight", 0) in got
+    assert {k: v for k, v in got.items() if k[0] == 3} == {
+        (3, "nodes", "", 0): "7", (3, "nodes", "", 2): "n", (3, "nodes", "id", 0): "1", (3, "dag", "edges", 0): "none"}
