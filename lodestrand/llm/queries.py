@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.functions.keys import func_key, taint_key, task_key
@@ -12,6 +12,12 @@ from lodestrand.session import durable, table
 FIELDS = ["line", "taint", "checks_json", "prune_json"]
 
 
+def _node_group() -> Column:
+    return F.concat(
+        func_key("func_id"), F.lit("|"), taint_key("taint_signature"), F.lit("|"), task_key("task_id"), F.lit("|"), F.col("node_id").cast("string")
+    )
+
+
 def _node_fields(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
     writers = table(spark, sf_dir, "writers").select(F.col("writer").alias("written_by"), F.col("trust").cast("long").alias("trust"))
     rows = table(spark, sf_dir, "dag_nodes").select(
@@ -19,11 +25,8 @@ def _node_fields(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
     )
     # writers is a fixed table; its size is Spark's to check
     rows = rows.join(writers.groupBy("written_by").agg(F.max("trust").alias("trust")), "written_by", "left")
-    group = F.concat(
-        func_key("func_id"), F.lit("|"), taint_key("taint_signature"), F.lit("|"), task_key("task_id"), F.lit("|"), F.col("node_id").cast("string")
-    )
     return representatives.representatives(
-        rows, group, "rec_id", FIELDS, F.col("trust"), F.unix_micros("written_at"), least_records=least
+        rows, _node_group(), "rec_id", FIELDS, F.col("trust"), F.unix_micros("written_at"), least_records=least
     )
 
 
@@ -33,11 +36,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per node: each field filled from the best record that has it."""
-    return (
+    """One record per node: each field filled from the best record that has it, NULL if none has."""
+    nodes = table(spark, sf_dir, "dag_nodes").groupBy(_node_group().alias("g")).agg(F.min(F.col("rec_id").cast("long")).alias("first_rec_id"))
+    filled = (
         _node_fields(spark, sf_dir, 1).groupBy("first_rec_id")
         .agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in FIELDS])
     )
+    return nodes.where("g is not null").select("first_rec_id").join(filled, "first_rec_id", "left")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
