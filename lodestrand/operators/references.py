@@ -3,7 +3,9 @@
 Skew-aware split. References are first pre-aggregated per (field, key, month), so that a key named by a
 third of all rows is one row per month. Keys with at least 1/HEAVY of the references of all fields are heavy: by
 that definition there are at most HEAVY of them, which is the size check for broadcasting them. The
-remaining keys are anti-joined by shuffle; both orphan sets are united.
+remaining keys are anti-joined by shuffle; both orphan sets are united. When the orphan references are
+listed, rows of heavy keys meet the broadcast only; the shuffled join gets the other rows, none of whose
+keys has more than 1/HEAVY of them. The tables are parsed once, into a table of keys and names.
 
 Defined results: NULL and blank keys refer to nothing; a target exists if its table has a row with the
 key, unless a deletion later than the loaded_at of all its rows is recorded (rows with NULL loaded_at are
@@ -74,35 +76,44 @@ def _named(df: DataFrame, refs: list[Reference]) -> DataFrame:
     return df.withColumns({"ref_table": pick("ref_table"), "ref_field": pick("ref_field")})
 
 
-def _split(refs: list[Reference], heavy: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pre-aggregated references, orphan keys among the heavy ones, orphan keys among the others)."""
-    per_key = durable(_rows(refs).groupBy("_f", "_key", "_month").agg(F.count("*").alias("_n")))
+@dataclass(frozen=True)
+class _Split:
+    rows: DataFrame  # every reference with a key, parsed once
+    per_key: DataFrame  # (_f, _key, _month, _n): references pre-aggregated
+    hot: DataFrame  # the heavy keys, at most `heavy`, with _orphan
+    rest: DataFrame  # orphan keys among the others
+
+
+def _split(refs: list[Reference], heavy: int) -> _Split:
+    rows = durable(_rows(refs))
+    per_key = durable(rows.groupBy("_f", "_key", "_month").agg(F.count("*").alias("_n")))
     counts = per_key.groupBy("_f", "_key").agg(F.sum("_n").alias("_n"))
     # At most `heavy` rows reach the driver: each stands for 1/heavy of all references.
     total = per_key.agg(F.sum("_n")).first()[0] or 0
     named = [(r["_f"], r["_key"]) for r in counts.where(F.col("_n") >= max(2, -(-total // heavy))).collect()]
     live = _united([r.live.select(F.lit(k).alias("_f"), "_key") for k, r in enumerate(refs)])
     hot = F.broadcast(counts.sparkSession.createDataFrame(named, "_f int, _key string"))
-    hot_live = live.join(hot, ["_f", "_key"], "left_semi")
-    hot_orphans = hot.join(hot_live, ["_f", "_key"], "left_anti")
+    hot_live = live.join(hot, ["_f", "_key"], "left_semi").withColumn("_live", F.lit(True))
     rest = counts.select("_f", "_key").join(hot, ["_f", "_key"], "left_anti")
-    return per_key, hot_orphans, durable(rest.join(live, ["_f", "_key"], "left_anti"))
+    judged = hot.join(hot_live, ["_f", "_key"], "left").select("_f", "_key", F.col("_live").isNull().alias("_orphan"))
+    return _Split(rows, per_key, judged, durable(rest.join(live, ["_f", "_key"], "left_anti")))
 
 
 def found(refs: list[Reference], heavy: int = HEAVY) -> DataFrame:
     """(ref_table, ref_field, ref_key, missing_key) of every orphan reference."""
-    _, hot, rest = _split(refs, heavy)
-    rows = _rows(refs).drop("_month")
-    # heavy orphans by the bounded broadcast, the others by whatever their written size allows
-    both = [F.broadcast(hot), rest]
-    listed = _united([rows.join(keys, ["_f", "_key"], "left_semi") for keys in both])
-    return _named(listed, refs).select("ref_table", "ref_field", "ref_key", "missing_key").distinct()
+    s = _split(refs, heavy)
+    # one pass: the broadcast tells heavy rows (with their verdict) from the others, which alone are shuffled
+    told = s.rows.select("_f", "_key", "ref_key", "missing_key").join(F.broadcast(s.hot), ["_f", "_key"], "left")
+    heavy_rows = told.where("_orphan").drop("_orphan")
+    light_rows = told.where("_orphan is null").drop("_orphan").join(s.rest, ["_f", "_key"], "left_semi")
+    return _named(heavy_rows.unionByName(light_rows), refs).select("ref_table", "ref_field", "ref_key", "missing_key").distinct()
 
 
 def counted(refs: list[Reference], heavy: int = HEAVY) -> DataFrame:
     """(ref_table, ref_field, loaded_month, orphan_refs, orphan_keys): orphans per field and month of loaded_at."""
-    per_key, hot, rest = _split(refs, heavy)
-    keys = [per_key.join(F.broadcast(hot), ["_f", "_key"], "left_semi"), per_key.join(rest, ["_f", "_key"], "left_semi")]
+    s = _split(refs, heavy)
+    told = s.per_key.join(F.broadcast(s.hot), ["_f", "_key"], "left")
+    keys = [told.where("_orphan").drop("_orphan"), told.where("_orphan is null").drop("_orphan").join(s.rest, ["_f", "_key"], "left_semi")]
     return (
         _named(_united(keys), refs)
         .groupBy("ref_table", "ref_field", F.date_format("_month", "yyyy-MM").alias("loaded_month"))
