@@ -64,3 +64,31 @@ def test_tables(spark):
     assert [tuple(r) for r in pii.found(df).collect()] == [(1, "email", "a@b.example")]
     assert {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()} == {1: "[EMAIL] [EMAIL]", 2: None, 3: "", 4: "  "}
     assert pii.found(df.limit(0)).count() == 0
+
+
+def test_long_pieces_are_whole():
+    local, name = "a" * 90 + ".b", "Anne-" + "Marie-" * 30 + "Luise Schmidt"
+    assert kinds(f"write to {local}@mail.example now") == [("email", f"{local}@mail.example")]
+    assert kinds("x@" + "sub." * 100 + "example.org;") == [("email", "x@" + "sub." * 100 + "example.org")]
+    assert kinds(f"Reviewed-by: {name}\n") == [("name", name)]
+    assert kinds("Steuernummer " + "laut Bescheid " * 20 + "04205385412") == [("identity", "04205385412")]
+
+
+def test_numbers_are_checked():
+    for text in ("card 110105194912310021", "Build 078-05-1120", "SSN 000-12-3456 and 666-12-3456", "ssn=912-00-3456", "12 345 678 901 items", "GB123456A was built", "E12345678 bytes"):
+        assert kinds(text) == [], text
+    for text, want in [("NI number GB123456A", "GB123456A"), ("card 11010519491231002X", "11010519491231002X"), ("id 86 095 742 719 on file", "86 095 742 719"), ("passport no. C01X00T47", "C01X00T47")]:
+        assert kinds(text) == [("identity", want)], text
+    assert pii.tax_check("86095742719") and not pii.tax_check("86095742718") and pii.resident_check("11010519491231002X")
+
+
+def test_held_out_sentences():
+    from tests.llm import heldout
+
+    for kind, (planted, found, both) in heldout.measure(pii.pieces, seed=7).items():
+        assert planted >= 300 and both >= 0.9 * planted and both >= 0.95 * found, kind
+
+
+def test_many_pieces_in_one_text():
+    text = " ".join(f"u{k}@mail.example" for k in range(20_000))
+    assert len(pii.pieces(text)) == 20_000
