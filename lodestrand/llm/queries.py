@@ -18,7 +18,7 @@ def _node_group() -> Column:
     )
 
 
-def _node_fields(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+def _node_fields(spark: SparkSession, sf_dir: str, least: int, weighting: str = "precedence") -> DataFrame:
     writers = table(spark, sf_dir, "writers").select(F.col("writer").alias("written_by"), F.col("trust").cast("long").alias("trust"))
     rows = table(spark, sf_dir, "dag_nodes").select(
         "rec_id", "func_id", "taint_signature", "task_id", "node_id", "written_by", "written_at", *FIELDS
@@ -26,7 +26,7 @@ def _node_fields(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
     # writers is a fixed table; its size is Spark's to check
     rows = rows.join(writers.groupBy("written_by").agg(F.max("trust").alias("trust")), "written_by", "left")
     return representatives.representatives(
-        rows, _node_group(), "rec_id", FIELDS, F.col("trust"), F.unix_micros("written_at"), least_records=least
+        rows, _node_group(), "rec_id", FIELDS, F.col("trust"), F.unix_micros("written_at"), least_records=least, weighting=weighting,
     )
 
 
@@ -45,6 +45,11 @@ def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.where("g is not null").select("first_rec_id").join(filled, "first_rec_id", "left")
 
 
+def p3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value closest to the token-wise majority, per group of two or more and field: votes weigh as much as their writer's trust."""
+    return _node_fields(spark, sf_dir, 2, "votes").select("first_rec_id", "field_name", "rec_id", "value")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k, without special tokens."""
     return encoding.encode(table(spark, sf_dir, "documents"))
@@ -104,6 +109,7 @@ b AS (
 QUERIES = {
     "p3_found": p3_found,
     "p3_survivors": p3_survivors,
+    "p3_consensus": p3_consensus,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
     "p8_mix": p8_mix,
@@ -116,6 +122,6 @@ SQL = {
     "p3_survivors": _CELLS
     + "SELECT k.first_rec_id, "
     + ", ".join(f"max(CASE WHEN b.field_name = '{f}' THEN b.v END) AS {f}" for f in FIELDS)
-    + " FROM b JOIN k USING (g) WHERE b.p = 1 GROUP BY 1",
+    + " FROM k LEFT JOIN b ON b.g = k.g AND b.p = 1 GROUP BY 1",
     "p7_round_trip": "SELECT doc_id, text FROM documents WHERE false",
 }
