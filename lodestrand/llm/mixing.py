@@ -7,7 +7,10 @@ time and cut where the mix's token budget is spent. A source that runs dry leave
 the shares actually reached are reported.
 
 Running sums over a source or a mix are two-level: the order is divided into many small ranges, sums of
-ranges are accumulated (one row per range), and the rest is summed inside a range. No task holds a source.
+ranges are accumulated (one row per range), and the rest is summed inside a range. No task holds a source or
+a mix: their number of ranges grows with their rows. In a mix, a stretch of virtual time of length t holds at
+most t tokens and a document, as the shares of the sources still running add up to 1 at most; so ranges of
+equal length are bounded alike, and about RANGE_ROWS mean documents long.
 
 Defined results: documents without source belong to none; empty and NULL texts have no tokens and are not
 used; sources with no documents, NULL, zero or negative weights or repeats get nothing but are reported;
@@ -23,7 +26,6 @@ from pyspark.sql import functions as F
 from lodestrand.session import durable
 
 RANGE_ROWS = 20_000
-RANGES = 4096
 
 
 def _running(df: DataFrame, keys: list[str], bucket: str, order: list, amount: str, out: str) -> DataFrame:
@@ -59,15 +61,16 @@ def _plan(targets: DataFrame, total: Column) -> DataFrame:
     )
 
 
-def mix(sized: DataFrame, targets: DataFrame, seed: int = 0, ranges: int = RANGES) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(mix_id, source, doc_id, repeat_no, tokens, mix_upto): the uses of each mix; mix_upto is the running
     sum of tokens in the order of virtual finish times, at most the budget.
 
     ``sized``: doc_id, source, tokens. ``targets``: mix_id, source, weight, max_repeats, total_share.
     """
-    total = sized.agg(F.sum("tokens")).first()[0] or 0
-    plan = _plan(targets, F.lit(total))
+    total, docs = sized.where("tokens > 0").agg(F.sum("tokens"), F.count("*")).first()
+    plan = _plan(targets, F.lit(total or 0))
     queue = durable(queue_positions(sized, seed))
+    length = F.lit((total or 0) / max(docs, 1) * range_rows)  # virtual time of a range
     # No finish time beyond the budget divided by the share of the only source left can be reached.
     uses = (
         queue.join(plan.where("share is not null"), "source")
@@ -75,7 +78,7 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 0, ranges: int = RANGE
         .withColumn("_cum", (F.col("repeat_no") - 1) * F.col("source_tokens") + F.col("upto"))
         .where("_cum <= budget")
         .withColumn("finish", F.col("_cum") / F.col("share"))
-        .withColumn("_b", F.floor(F.col("finish") / F.greatest(F.col("budget"), F.lit(1)) * F.lit(ranges)).cast("long"))
+        .withColumn("_b", F.floor(F.col("finish") / length).cast("long"))
         .select("mix_id", "source", "doc_id", "repeat_no", "tokens", "finish", "_b", "budget")
     )
     # Ranges that begin beyond the budget are left out before any row of theirs is ordered.
