@@ -1,9 +1,9 @@
 """Problem 2: overlapping, nested and gapped intervals per entity as continuous periods and gaps.
 
 The aggregate state is a sorted list of disjoint intervals. Partial lists are merged by a linear merge
-in a reduction tree: per (entity, time chunk, input partition), then per (entity, chunk, slice of
-partitions), then per (entity, chunk). Each list is bounded: the first by one input partition, the later
-ones by what stays disjoint inside one chunk of time. Chunks of one entity are then stitched through one
+in a reduction tree: rows are merged per (entity, time chunk) inside their input partition, before any
+shuffle, then per (entity, chunk, slice of partitions), then per (entity, chunk). Each list is bounded: the
+first by LEAF_ROWS, the later ones by what stays disjoint inside one chunk of time. Chunks of one entity are then stitched through one
 summary row per chunk (latest end so far), so a hot entity is never brought together in one task.
 
 Defined results: intervals with a NULL entity or bound, or that end before they start, do not count;
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,7 @@ from lodestrand.session import durable
 
 CHUNK_MICROS = 86_400_000_000
 FAN_IN = 32
+LEAF_ROWS = 200_000
 _LISTS = T.StructType([T.StructField("s", T.ArrayType(T.LongType())), T.StructField("e", T.ArrayType(T.LongType()))])
 
 
@@ -53,6 +55,49 @@ def merge_lists(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Dat
         yield pd.DataFrame({"s": s, "e": e})
 
 
+_LIST = pa.list_(pa.int64())
+_LEAF = pa.schema([("_k", pa.string()), ("_c", pa.int64()), ("_l", pa.struct([("s", _LIST), ("e", _LIST)]))])
+
+
+def _merge_rows(rows: pa.Table, chunk: int) -> pa.RecordBatch:
+    """One row per (entity, chunk) of ``rows`` (_k, _a, _b) with its merged list; no loop over groups."""
+    keys = rows.column("_k").combine_chunks().dictionary_encode()
+    code = keys.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    starts, ends = (rows.column(c).to_numpy() for c in ("_a", "_b"))
+    at = np.floor_divide(starts, chunk)
+    order = np.lexsort((starts, at, code))
+    code, at, starts, ends = code[order], at[order], starts[order], ends[order]
+    fresh = np.ones(len(code), dtype=bool)
+    fresh[1:] = (code[1:] != code[:-1]) | (at[1:] != at[:-1])
+    group = np.cumsum(fresh) - 1
+    # latest end so far inside the group: ends as ranks, so that a group's number outweighs them
+    levels, rank = np.unique(ends, return_inverse=True)
+    reach = levels[np.maximum.accumulate(group * len(levels) + rank) - group * len(levels)]
+    opens = fresh.copy()
+    opens[1:] |= starts[1:] > reach[:-1]
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(starts)) - 1
+    heads = np.flatnonzero(fresh)
+    offsets = pa.array(np.append(np.searchsorted(first, heads), len(first)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (starts[first], reach[last])]
+    return pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(code[heads])), pa.array(at[heads]), pa.StructArray.from_arrays(lists, fields=list(_LEAF.field("_l").type))], schema=_LEAF)
+
+
+def _leaves(chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= LEAF_ROWS:
+                yield _merge_rows(pa.Table.from_batches(held), chunk)
+                held, rows = [], 0
+        if rows:
+            yield _merge_rows(pa.Table.from_batches(held), chunk)
+
+    return run
+
+
 def _combine(df: DataFrame, keys: list[str]) -> DataFrame:
     """One level of the tree: the lists of equal ``keys`` merged into one."""
     both = df.groupBy(*keys).agg(F.flatten(F.collect_list("_l.s")).alias("_s"), F.flatten(F.collect_list("_l.e")).alias("_e"))
@@ -62,14 +107,11 @@ def _combine(df: DataFrame, keys: list[str]) -> DataFrame:
 def periods(df: DataFrame, entity: str, start: str, end: str, chunk: int = CHUNK_MICROS, fan_in: int = FAN_IN) -> DataFrame:
     """Maximal covered periods: (entity, start_micros, end_micros). ``start``, ``end``: long columns."""
     base = (
-        df.select(F.col(entity).alias("_k"), F.col(start).cast("long").alias("_a"), F.col(end).cast("long").alias("_b"))
+        df.select(F.col(entity).cast("string").alias("_k"), F.col(start).cast("long").alias("_a"), F.col(end).cast("long").alias("_b"))
         .where("_k is not null and _a is not null and _b is not null and _b >= _a")
-        .withColumn("_c", F.floor(F.col("_a") / F.lit(chunk)))
-        .withColumn("_l", F.struct(F.array("_a").alias("s"), F.array("_b").alias("e")))
-        .withColumn("_i", F.spark_partition_id())
     )
-    leaves = _combine(base, ["_k", "_c", "_i"])
-    inner = _combine(leaves.withColumn("_i", F.col("_i") % fan_in), ["_k", "_c", "_i"])
+    leaves = base.mapInArrow(_leaves(chunk), "_k string, _c long, _l struct<s:array<bigint>,e:array<bigint>>")
+    inner = _combine(leaves.withColumn("_i", F.spark_partition_id() % fan_in), ["_k", "_c", "_i"])
     chunks = durable(_combine(inner, ["_k", "_c"]))  # read several times below
 
     # Latest end before each chunk: one row per chunk of an entity.

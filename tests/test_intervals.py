@@ -43,6 +43,17 @@ def test_defined_cases(spark):
     assert run(spark, [("x", 1, 2)][:0] or [("n", None, None)]) == []
 
 
+def test_leaves_are_merged_before_the_shuffle(monkeypatch):
+    rnd = random.Random(5)
+    rows = [(rnd.choice("ab"), a := rnd.randrange(-500, 5000), a + rnd.choice([0, 1, 40])) for _ in range(900)]
+    monkeypatch.setattr(I, "LEAF_ROWS", 400)
+    batch = I.pa.RecordBatch.from_pylist([dict(zip(("_k", "_a", "_b"), r, strict=True)) for r in rows])
+    out = [x for part in I._leaves(100)(iter([batch.slice(0, 450), batch.slice(450)])) for x in part.to_pylist()]
+    for part in out:
+        assert all(a // 100 == part["_c"] for a in part["_l"]["s"]) and all(e < s for e, s in zip(part["_l"]["e"], part["_l"]["s"][1:], strict=False))
+    assert len(out) < 450 and brute([(p["_k"], a, b) for p in out for a, b in zip(p["_l"]["s"], p["_l"]["e"], strict=True)]) == brute(rows)
+
+
 def test_hot_entity_over_many_chunks(spark):
     rows = [("hot", i * 10, i * 10 + (11 if i % 7 else 3)) for i in range(3000)] + [("cold", 1, 2)]
     assert run(spark, rows) == brute(rows)
