@@ -4,7 +4,9 @@ Tagged-union inference. Each file is reduced, in parallel and on its own, to a p
 field path the set of type tags that occur (the alternatives are kept, not widened) and a digest of the
 values after canonical conversion. Profiles fuse by set union. Neighbouring versions of a case are
 compared by profile; the canonical table splits conflicting alternatives into typed branches next to the
-converted value.
+converted value, objects and arrays as exact JSON text. Objects inside fields form levels of their own, to
+any depth (``dag.followups[]``, ``edges.condition``): ``nested_changes`` reports them, ``changes`` the four
+levels of the files.
 
 Defined results: NULL, empty and unparseable bodies and bodies whose top is not an object are no version;
 of several parseable bodies of one version the one loaded last (then the largest file id) counts; a NULL
@@ -16,13 +18,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.session import durable
+from lodestrand.session import durable, release
 
 PREFIX = "analyze_"
 CHANGE_SCHEMA = (
@@ -87,6 +90,22 @@ def levels_of(top: dict) -> dict[str, list[tuple[str, dict]]]:
     return out
 
 
+def nested_levels(levels: dict[str, list[tuple[str, dict]]]) -> dict[str, list[tuple[str, dict]]]:
+    """Objects inside the fields of ``levels``, to any depth: level.field for an object, level.field[] for those of a list."""
+    out: dict[str, list[tuple[str, dict]]] = {}
+    todo = deque((level, x) for level, objects in levels.items() for x in objects)
+    while todo:
+        level, (owner, obj) = todo.popleft()
+        for name, value in obj.items():
+            if name.startswith(PREFIX) or (level == "dag" and name in ("nodes", "edges")):
+                continue
+            inner = [(f"{level}.{name}", value)] if isinstance(value, dict) else [(f"{level}.{name}[]", x) for x in value if isinstance(x, dict)] if isinstance(value, list) else []
+            for deeper, x in inner:
+                out.setdefault(deeper, []).append((owner, x))
+                todo.append((deeper, (owner, x)))
+    return out
+
+
 def parse(body: str | None) -> dict | None:
     """The top object of a body, None if it is not parseable or no object."""
     try:
@@ -96,14 +115,16 @@ def parse(body: str | None) -> dict | None:
     return top if isinstance(top, dict) else None
 
 
-def profile(top: dict) -> list[dict]:
-    """Per level and field: its type tags, a digest of its values and whether those can identify it.
+def profile(top: dict, nested: bool = False) -> list[dict]:
+    """Per level and field: its type tags, a digest of its values and whether those can identify it; of the four
+    levels, or of the levels inside them.
 
     Values are taken with their position in the level, so that two fields agree only if they agree object
-    by object. ``weak``: the values are all missing or all 0 or 1, which unrelated fields share by chance.
+    by object. ``weak``: the values are all missing or all 0 or 1, which unrelated fields share by chance;
+    ``varied``: both 0 and 1 occur.
     """
     out = []
-    for level, objects in levels_of(top).items():
+    for level, objects in (nested_levels(levels_of(top)) if nested else levels_of(top)).items():
         fields: dict[str, tuple[set, list]] = {}
         for at, (_owner, obj) in enumerate(objects):
             for name, value in obj.items():
@@ -119,7 +140,8 @@ def profile(top: dict) -> list[dict]:
         for name, (tags, values) in fields.items():
             digest = hashlib.blake2b(json.dumps(values).encode(), digest_size=8).hexdigest()
             weak = all(isinstance(v, tuple) and v[1] in ("0", "1") for v in values)
-            out.append({"level": level, "field": name, "tags": "|".join(sorted(tags)), "digest": digest, "weak": weak})
+            varied = weak and len({v[1] for v in values}) == 2
+            out.append({"level": level, "field": name, "tags": "|".join(sorted(tags)), "digest": digest, "weak": weak, "varied": varied})
     return out
 
 
@@ -128,7 +150,12 @@ def _words(name: str) -> set[str]:
 
 
 def compare(old: list[dict], new: list[dict]) -> list[tuple[str, str, str, str, str]]:
-    """(level, old field, new field, old type, new type) of every difference of two profiles."""
+    """(level, old field, new field, old type, new type) of every difference of two profiles.
+
+    A field that goes and one that comes with the same values are one renamed. Where the values are weak, the
+    names must share a word or the types be equal, or there is no other field the two could belong to and
+    both 0 and 1 occur.
+    """
     out = []
     a = {(p["level"], p["field"]): p for p in old}
     b = {(p["level"], p["field"]): p for p in new}
@@ -142,7 +169,8 @@ def compare(old: list[dict], new: list[dict]) -> list[tuple[str, str, str, str,
         for y in come:
             if x[0] == y[0] and a[x]["digest"] == b[y]["digest"]:
                 shared = len(_words(x[1]) & _words(y[1]))
-                if not a[x]["weak"] or shared or a[x]["tags"] == b[y]["tags"]:
+                alone = a[x]["varied"] and sum(a[z]["digest"] == a[x]["digest"] and z[0] == x[0] for z in gone) == 1 == sum(b[z]["digest"] == a[x]["digest"] and z[0] == x[0] for z in come)
+                if not a[x]["weak"] or shared or a[x]["tags"] == b[y]["tags"] or alone:
                     pairs.append((-shared, a[x]["tags"] != b[y]["tags"], x, y))
     for _shared, _type, x, y in sorted(pairs):
         if x in gone and y in come:
@@ -155,25 +183,34 @@ def compare(old: list[dict], new: list[dict]) -> list[tuple[str, str, str, str,
 
 
 _PROFILE = pa.list_(
-    pa.struct([("level", pa.string()), ("field", pa.string()), ("tags", pa.string()), ("digest", pa.string()), ("weak", pa.bool_())])
+    pa.struct([("level", pa.string()), ("field", pa.string()), ("tags", pa.string()), ("digest", pa.string()), ("weak", pa.bool_()), ("varied", pa.bool_())])
 )
-_PROFILE_DDL = "array<struct<level:string,field:string,tags:string,digest:string,weak:boolean>>"
+_PROFILE_DDL = "array<struct<level:string,field:string,tags:string,digest:string,weak:boolean,varied:boolean>>"
 
 
-def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep, profiles = [], []
-        for k, body in enumerate(batch.column("body").to_pylist()):
-            top = parse(body)
-            if top is not None:
-                keep.append(k)
-                profiles.append(profile(top))
-        at = pa.array(keep, pa.int64())
-        cols = [batch.column(n).take(at) for n in ("case_id", "case_version", "rank")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(profiles, _PROFILE)], ["case_id", "case_version", "rank", "profile"])
-
-
-def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profile_batches(nested: bool, body_too: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, profiles = [], []
+            for k, body in enumerate(batch.column("body")):
+                top = parse(body.as_py())
+                if top is not None:
+                    keep.append(k)
+                    profiles.append(profile(top, nested))
+            at = pa.array(keep, pa.int64())
+            names = ["case_id", "case_version", "rank", *(["body"] if body_too else [])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(at) for n in names), pa.array(profiles, _PROFILE)], [*names, "profile"])
+
+    return run
+
+
+def compare_nested(old: list[dict], new: list[dict]) -> list[tuple[str, str, str, str, str]]:
+    """``compare`` of the inner levels that both have: one that comes or goes shows as a change of its field above."""
+    both = {p["level"] for p in old} & {p["level"] for p in new}
+    return compare([p for p in old if p["level"] in both], [p for p in new if p["level"] in both])
+
+
+def _compare_batches(batches: Iterator[pa.RecordBatch], compare=compare) -> Iterator[pa.RecordBatch]:
     names = ["case_id", "case_version", "obj_level", "old_field", "new_field", "old_type", "new_type"]
     kinds = [pa.int64(), pa.int32(), *[pa.string()] * 5]
     for batch in batches:
@@ -186,16 +223,19 @@ def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def profiles(files: DataFrame) -> DataFrame:
-    """One profile per (case_id, case_version) with a parseable body."""
+def profiles(files: DataFrame, nested: bool = False, body_too: bool = False) -> DataFrame:
+    """One profile per (case_id, case_version) with a parseable body; with that body if ``body_too``."""
     rank = F.struct(F.col("loaded_at").cast("long").alias("t"), F.col("file_id").cast("long").alias("f"))
     source = files.where("case_id is not null and case_version is not null and body is not null").select(
         F.col("case_id").cast("long"), F.col("case_version").cast("int"), F.col("body").cast("string"), rank.alias("rank")
     )
+    kept = ["profile", *(["body"] if body_too else [])]
     read = source.mapInArrow(
-        _profile_batches, f"case_id long, case_version int, rank struct<t:bigint,f:bigint>, profile {_PROFILE_DDL}"
+        _profile_batches(nested, body_too),
+        "case_id long, case_version int, rank struct<t:bigint,f:bigint>, " + ("body string, " if body_too else "") + f"profile {_PROFILE_DDL}",
     )
-    return read.groupBy("case_id", "case_version").agg(F.max_by("profile", "rank").alias("profile"))
+    best = read.groupBy("case_id", "case_version").agg(F.max_by(F.struct(*kept), "rank").alias("_b"))
+    return best.select("case_id", "case_version", *[f"_b.{c}" for c in kept])
 
 
 def with_previous(df: DataFrame, case: str, version: str, value: str, out: str, bucket: int = _BUCKET) -> DataFrame:
@@ -211,47 +251,56 @@ def with_previous(df: DataFrame, case: str, version: str, value: str, out: str,
 
 def changes(files: DataFrame) -> DataFrame:
     """Every difference between a parseable version and the parseable version before it."""
-    pairs = with_previous(durable(profiles(files)), "case_id", "case_version", "profile", "before").where("before is not null")
-    return pairs.select("case_id", "case_version", "before", "profile").mapInArrow(_compare_batches, CHANGE_SCHEMA)
+    return _compared(durable(profiles(files)))
+
+
+def nested_changes(files: DataFrame) -> DataFrame:
+    """As ``changes`` for the objects inside the fields of the four levels; obj_level is their path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _compare_batches(batches, compare_nested)
+
+    return _compared(durable(profiles(files, nested=True)), run)
+
+
+def _compared(shapes: DataFrame, run=_compare_batches) -> DataFrame:
+    pairs = with_previous(shapes.select("case_id", "case_version", "profile"), "case_id", "case_version", "profile", "before").where("before is not null")
+    return pairs.select("case_id", "case_version", "before", "profile").mapInArrow(run, CHANGE_SCHEMA)
 
 
 # ---------------------------------------------------------------- one consistent table
 
 FACT_SCHEMA = (
     "case_id long, case_version int, obj_level string, owner string, obj_no int, field string, type_tag string, value string, "
-    "text_value string, number_value double, flag_value boolean, list_value array<string>"
+    "text_value string, number_value double, flag_value boolean, list_value array<string>, json_value string"
 )
 
 
-def field_names(profiled: DataFrame, changed: DataFrame) -> dict[tuple[str, str], str]:
-    """(level, field) -> the one name of its class. Names that any rename links are one class; the name that
-    most versions use stands for it. Only distinct field names reach the driver: their number is that of the
-    schema's spellings, not of the data."""
-    used = {
-        (r["level"], r["field"]): r["n"]
-        for r in profiled.select(F.explode("profile").alias("p")).where(~F.startswith("p.field", F.lit(PREFIX)))
-        .groupBy("p.level", "p.field").agg(F.count("*").alias("n")).collect()
-    }
-    links = changed.where(
-        (F.col("old_field") != "") & (F.col("new_field") != "") & (F.col("old_field") != F.col("new_field")) & ~F.startswith("old_field", F.lit(PREFIX))
-    ).select("obj_level", "old_field", "new_field").distinct().collect()
-    above = {k: k for k in used}
-
-    def top(k: tuple[str, str]) -> tuple[str, str]:
-        while above.setdefault(k, k) != k:
-            k = above[k]
-        return k
-
-    for r in links:
-        a, b = top((r["obj_level"], r["old_field"])), top((r["obj_level"], r["new_field"]))
-        if a != b:
-            lo, hi = sorted((a, b), key=lambda k: (-used.get(k, 0), k))
-            above[hi] = lo
-    return {k: top(k)[1] for k in used}
+def field_names(profiled: DataFrame, changed: DataFrame) -> DataFrame:
+    """(obj_level, field, name): the one name of each field's class. Names that any rename links are one class; the
+    name that most versions use stands for it. Classes are found by joins, so that keys may be data."""
+    used = durable(
+        profiled.select(F.explode("profile").alias("p")).where(~F.startswith("p.field", F.lit(PREFIX)))
+        .groupBy(F.col("p.level").alias("obj_level"), F.col("p.field").alias("field")).agg(F.count("*").alias("n"))
+    )
+    renamed = changed.where("old_field <> '' and new_field <> '' and old_field <> new_field").where(~F.startswith("old_field", F.lit(PREFIX)))
+    one_way = renamed.select("obj_level", F.col("old_field").alias("field"), F.col("new_field").alias("other")).distinct()
+    links = durable(one_way.unionByName(one_way.select("obj_level", F.col("other").alias("field"), F.col("field").alias("other"))).distinct())
+    best = F.struct((-F.col("n")).alias("n"), F.col("field").alias("name"))
+    label = durable(used.select("obj_level", "field", best.alias("best")))
+    while True:  # the best name spreads along the links; as many rounds as the longest chain of renames
+        sent = links.join(label.withColumnRenamed("field", "other"), ["obj_level", "other"]).select("obj_level", "field", "best")
+        wider = durable(label.unionByName(sent).groupBy("obj_level", "field").agg(F.min("best").alias("best")))
+        same = wider.join(label, ["obj_level", "field", "best"], "left_anti").isEmpty()
+        release(label)
+        label = wider
+        if same:
+            return label.select("obj_level", "field", F.col("best.name").alias("name"))
 
 
 def _branches(value: object) -> tuple:
-    """(canonical text, text, number, flag, list): the canonical conversion and the branch of the value's own type."""
+    """(canonical text, text, number, flag, list, JSON): the canonical conversion and the branch of the value's own type;
+    objects and lists also as JSON text, with their keys and order."""
     form = canonical(value)
     text = form if form is None or isinstance(form, str) else json.dumps(form, ensure_ascii=False)
     flag = value if isinstance(value, bool) else None
@@ -259,7 +308,8 @@ def _branches(value: object) -> tuple:
     items = None
     if isinstance(value, list):
         items = [x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in map(canonical, value) if x is not None]
-    return text, value if isinstance(value, str) else None, number, flag, items
+    whole = json.dumps(value, ensure_ascii=False) if isinstance(value, dict | list) else None
+    return text, value if isinstance(value, str) else None, number, flag, items, whole
 
 
 def _loose(top: dict) -> Iterator[tuple[str, str, int, object]]:
@@ -270,46 +320,50 @@ def _loose(top: dict) -> Iterator[tuple[str, str, int, object]]:
             yield from ((level, owner, k, x) for k, x in enumerate(items if isinstance(items, list) else ()) if not isinstance(x, dict))
 
 
-def _parseable_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_FACTS = pa.schema([
+    ("case_id", pa.int64()), ("case_version", pa.int32()), ("obj_level", pa.string()), ("owner", pa.string()), ("obj_no", pa.int32()), ("field", pa.string()),
+    ("type_tag", pa.string()), ("value", pa.string()), ("text_value", pa.string()), ("number_value", pa.float64()), ("flag_value", pa.bool_()),
+    ("list_value", pa.list_(pa.string())), ("json_value", pa.string()),
+])
+
+
+def _facts_of(case: int, version: int, top: dict) -> Iterator[tuple]:
+    for level, owner, at, x in _loose(top):
+        yield case, version, level, owner, at, "", tag(x), *_branches(x)
+    for level, objects in levels_of(top).items():
+        for at, (owner, obj) in enumerate(objects):
+            for name, value in obj.items():
+                if not name.startswith(PREFIX) and not (level == "dag" and name in ("nodes", "edges") and (value is None or isinstance(value, list))):
+                    yield case, version, level, owner, at, name, tag(value), *_branches(value)
+
+
+def _fact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * len(_FACTS)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FACTS, strict=True)], schema=_FACTS)
+
     for batch in batches:
-        yield batch.take(pa.array([k for k, body in enumerate(batch.column("body").to_pylist()) if parse(body) is not None], pa.int64()))
+        for case, version, body in zip(*(batch.column(n) for n in ("case_id", "case_version", "body")), strict=True):
+            for row in _facts_of(case.as_py(), version.as_py(), parse(body.as_py())):
+                rows.append(row)
+                if len(rows) >= 50_000:
+                    yield made()
+                    rows.clear()
+    yield made()
 
 
 def facts(files: DataFrame) -> DataFrame:
     """Every field of every object of every parseable version under one name: FACT_SCHEMA.
 
     ``type_tag`` tells which typed branch holds the value as written; ``value`` is its canonical text, equal for
-    all types it was ever written with. Nulls and empty values keep their row with a NULL value. The nested
-    lists of nodes and edges are levels of their own and no fields; an element of theirs that is no object has
-    the field '' and its place in the list as obj_no.
+    all types it was ever written with, and ``json_value`` the exact text of objects and lists. Nulls and empty
+    values keep their row with a NULL value. The nested lists of nodes and edges are levels of their own and no
+    fields; an element of theirs that is no object has the field '' and its place in the list as obj_no.
     """
-    shapes = durable(profiles(files))
-    pairs = with_previous(shapes, "case_id", "case_version", "profile", "before").where("before is not null")
-    names = field_names(shapes, pairs.select("case_id", "case_version", "before", "profile").mapInArrow(_compare_batches, CHANGE_SCHEMA))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for case, version, body in zip(*(batch.column(n).to_pylist() for n in ("case_id", "case_version", "body")), strict=True):
-                top = parse(body)
-                rows += [(case, version, level, owner, at, "", tag(x), *_branches(x)) for level, owner, at, x in _loose(top)]
-                for level, objects in levels_of(top).items():
-                    for at, (owner, obj) in enumerate(objects):
-                        for name, value in obj.items():
-                            if not name.startswith(PREFIX) and not (level == "dag" and name in ("nodes", "edges") and (value is None or isinstance(value, list))):
-                                rows.append((case, version, level, owner, at, names.get((level, name), name), tag(value), *_branches(value)))
-            fields = [
-                pa.field("case_id", pa.int64()), pa.field("case_version", pa.int32()), pa.field("obj_level", pa.string()), pa.field("owner", pa.string()),
-                pa.field("obj_no", pa.int32()), pa.field("field", pa.string()), pa.field("type_tag", pa.string()), pa.field("value", pa.string()),
-                pa.field("text_value", pa.string()), pa.field("number_value", pa.float64()), pa.field("flag_value", pa.bool_()), pa.field("list_value", pa.list_(pa.string())),
-            ]
-            cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)], schema=pa.schema(fields))
-
-    rank = F.struct(F.col("loaded_at").cast("long").alias("t"), F.col("file_id").cast("long").alias("f"))
-    source = files.where("case_id is not null and case_version is not null and body is not null").select(
-        F.col("case_id").cast("long"), F.col("case_version").cast("int"), rank.alias("rank"), F.col("body").cast("string")
-    )
-    good = source.mapInArrow(_parseable_batches, "case_id long, case_version int, rank struct<t:bigint,f:bigint>, body string")
-    latest = good.groupBy("case_id", "case_version").agg(F.max_by("body", "rank").alias("body"))
-    return latest.mapInArrow(run, FACT_SCHEMA)
+    shapes = durable(profiles(files, body_too=True))
+    names = field_names(shapes, _compared(shapes)).withColumnRenamed("name", "_name")
+    rows = shapes.select("case_id", "case_version", "body").mapInArrow(_fact_batches, FACT_SCHEMA)
+    named = rows.join(names, ["obj_level", "field"], "left").withColumn("field", F.coalesce("_name", "field"))
+    return named.select(*_FACTS.names)

@@ -134,6 +134,11 @@ def p5_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.facts(table(spark, sf_dir, "expected_dag"))
 
 
+def p5_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of fields inside objects below the four levels; obj_level is the path of the object."""
+    return drift.nested_changes(table(spark, sf_dir, "expected_dag"))
+
+
 _P4_SQL = r"""
 WITH gone AS (
     SELECT lower(trim(table_name)) AS tab, lower(trim(record_key)) AS k, max(deleted_at) AS deleted_at FROM deleted_records GROUP BY 1, 2),
@@ -174,6 +179,7 @@ QUERIES = {
     "p4_orphans_per_month": p4_orphans_per_month,
     "p5_found": p5_found,
     "p5_facts": p5_facts,
+    "p5_nested": p5_nested,
     "p6_found": p6_found,
     "p6_paths": p6_paths,
     "p6_descendants": p6_descendants,

@@ -84,3 +84,32 @@ def test_facts_take_the_latest_object_body_and_loose_elements(spark):
     assert got[1, "dag", "gap", 0] == "old" and got[2, "dag", "gap", 0] == "x" and (2, "dag", "weight", 0) in got
     assert {k: v for k, v in got.items() if k[0] == 3} == {
         (3, "nodes", "", 0): "7", (3, "nodes", "", 2): "n", (3, "nodes", "id", 0): "1", (3, "dag", "edges", 0): "none"}
+
+
+def test_nested_changes_and_exact_objects(spark):
+    a = dag(meta={"b": 1, "deep": [{"x": {"y": 2}}]}, gone={"k": 1})
+    b = dag(meta={"b": "t", "deep": [{"x": {"y": "2", "z": None}}]})
+    rows = [(k, 1, k, json.dumps(x), T0) for k, x in enumerate((a, b), 1)]
+    df = spark.createDataFrame(rows, "file_id long, case_id long, case_version int, body string, loaded_at timestamp")
+    assert sorted(tuple(r)[2:] for r in D.nested_changes(df).collect()) == [
+        ("dag.meta", "b", "b", "number", "string"), ("dag.meta.deep[].x", "", "z", "", ""), ("dag.meta.deep[].x", "y", "y", "number", "string")]
+    assert sorted(tuple(r)[2:] for r in D.changes(df).collect()) == [("dag", "gone", "", "object", "")]
+    got = {(r["case_version"], r["field"]): r["json_value"] for r in D.facts(df).collect() if r["obj_level"] == "dag"}
+    assert json.loads(got[1, "meta"]) == a["meta"] and got[1, "taint_signature"] is None
+
+
+def test_weak_values_are_renamed_only_if_nothing_else_fits(spark):
+    old = dag(edges=[{"to": 0}, {"to": 1}])
+    new = dag(edges=[{"dst": "0"}, {"dst": "1"}])
+    assert changes(spark, [(1, old), (2, new)]) == [(2, "edges", "to", "dst", "number", "string")]
+    two = dag(edges=[{"dst": "0", "alt": "0"}, {"dst": "1", "alt": "1"}])
+    assert len(changes(spark, [(1, old), (2, two)])) == 3
+    same = dag(edges=[{"dst": "1"}, {"dst": "1"}])
+    assert len(changes(spark, [(1, dag(edges=[{"to": 1}, {"to": 1}])), (2, same)])) == 2
+
+
+def test_names_of_a_chain_of_renames(spark):
+    rows = [(k, 1, k, json.dumps(dag(**{f"name{k}": "some text"})), T0) for k in range(1, 7)]
+    df = spark.createDataFrame(rows, "file_id long, case_id long, case_version int, body string, loaded_at timestamp")
+    got = {r["field"] for r in D.facts(df).collect() if r["value"] == "some text"}
+    assert got == {"name1"}
