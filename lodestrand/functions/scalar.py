@@ -20,10 +20,11 @@ CPU_UNITS = {"n": 1e-6, "u": 1e-3, "m": 1.0, "": 1e3}
 MEMORY_UNITS = {"Ki": 2**10, "Mi": 2**20, "Gi": 2**30, "Ti": 2**40, "Pi": 2**50, "Ei": 2**60, "K": 10**3, "M": 10**6, "G": 10**9, "T": 10**12, "P": 10**15, "E": 10**18, "": 1}
 FAILURE_WORDS = (("cancel", ("cancel",)), ("timeout", ("timeout", "timed out", "deadline")), ("lease_lost", ("lease",)), ("validation", ("invalid", "validation")), ("error", ("error",)), ("failed", ("failed",)))
 SINK_NAMES = (
-    "memcpy strcpy strncpy sprintf snprintf vsprintf vsnprintf strcat strncat gets scanf sscanf fscanf fgets memmove bcopy read recv recvfrom recvmsg system "
-    "popen execve execl execv execvp execlp malloc calloc realloc free strtok strtok_r strsep open creat openat ioctl setsockopt sendto sendmsg send write "
-    "fwrite pwrite writev atoi atol strtol strtoul strtod sqlite3_exec mysql_query mysql_real_query"
-).split()
+    "memcpy", "strcpy", "strncpy", "sprintf", "snprintf", "vsprintf", "vsnprintf", "strcat", "strncat", "gets", "scanf", "sscanf", "fscanf", "fgets", "memmove", "bcopy",
+    "read", "recv", "recvfrom", "recvmsg", "system", "popen", "execve", "execl", "execv", "execvp", "execlp", "malloc", "calloc", "realloc", "free", "strtok", "strtok_r", "strsep",
+    "open", "creat", "openat", "ioctl", "setsockopt", "sendto", "sendmsg", "send", "write", "fwrite", "pwrite", "writev", "atoi", "atol", "strtol", "strtoul", "strtod",
+    "sqlite3_exec", "mysql_query", "mysql_real_query",
+)
 FACT_WORDS = {
     "null_check": ("null", "nullptr", "非空", "空指针"), "range": ("range", "范围", "上限", "下限"), "bounds": ("bound", "bounds", "length", "len", "size", "越界", "边界", "长度"),
     "enum": ("enum", "whitelist", "白名单", "枚举"), "auth": ("auth", "permission", "owner", "权限", "授权", "归属"),
@@ -131,9 +132,10 @@ def metric_family(c: Column | str) -> Column:
 
 
 def label_unescape(c: Column | str) -> Column:
-    """Escaped backslash, quote and line end of a label value."""
-    out = F.replace(_c(c), F.lit("\\\\"), F.lit("\\"))
-    return F.replace(F.replace(out, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
+    """Escaped backslash, quote and line end of a label value, read from left to right in one pass."""
+    parts = F.regexp_extract_all(_c(c), F.lit(r"(?s)(\\.|[^\\]+|\\$)"), F.lit(1))
+    plain = F.transform(parts, lambda p: F.when(p == "\\n", "\n").when(p.isin("\\\\", '\\"'), F.substring(p, 2, 1)).otherwise(p))
+    return F.array_join(plain, "")
 
 
 def failure_class(status: Column | str, reason: Column | str) -> Column:

@@ -12,13 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.functions.scalar import SINK_NAMES
+
 MAX_DEPTH = 8
-SINKS = frozenset(
-    "memcpy strcpy strncpy sprintf snprintf vsprintf vsnprintf strcat strncat gets scanf sscanf fscanf fgets memmove bcopy read recv "
-    "recvfrom recvmsg system popen execve execl execv execvp execlp malloc calloc realloc free strtok strtok_r strsep open creat openat "
-    "ioctl setsockopt sendto sendmsg send write fwrite pwrite writev atoi atol strtol strtoul strtod sqlite3_exec mysql_query "
-    "mysql_real_query".split()
-)
+SINKS = frozenset(SINK_NAMES)
 _KINDS = {
     "task_id": "string", "func_id": "string", "taint_signature": "string", "step": "string", "depth": "int", "at_func": "string",
     "at_taint": "string", "kind": "string", "edge_id": "string", "line": "int", "effect": "string", "state": "string",

@@ -39,8 +39,16 @@ def simple(name: str, fn: Callable[[T], DataFrame], sql: str | None = None) -> N
 n_ = lambda: F.count("*").alias("n")
 
 # ---- scans and filters
-simple("s01_point_get", lambda t: t("dvs_functions").where(F.col("func_id") == "a4268b5c3f16573b").select("func_id", "file", "func_name", "start_line", "end_line"),
-       "SELECT func_id, file, func_name, start_line, end_line FROM dvs_functions WHERE func_id = 'a4268b5c3f16573b'")
+_SOME = "(SELECT min(f.func_id) FROM dvs_functions f JOIN dvs_task_graph_edges e ON e.target_func_id = f.func_id)"
+
+
+def _some_function(t):
+    """One row: the smallest id that the index and the edges share."""
+    return t("dvs_functions").select("func_id").join(t("dvs_task_graph_edges").select(F.col("target_func_id").alias("func_id")), "func_id", "left_semi").agg(F.min("func_id").alias("func_id"))
+
+
+simple("s01_point_get", lambda t: t("dvs_functions").join(F.broadcast(_some_function(t)), "func_id").select("func_id", "file", "func_name", "start_line", "end_line"),
+       f"SELECT func_id, file, func_name, start_line, end_line FROM dvs_functions WHERE func_id = {_SOME}")
 simple("s02_list_functions", lambda t: t("dvs_functions").select("func_id", "file", "func_name", "name_tail", "signature", "start_line", "end_line"), "SELECT func_id, file, func_name, name_tail, signature, start_line, end_line FROM dvs_functions")
 simple("s03_functions_by_file", lambda t: t("dvs_functions").where(F.startswith("file", F.lit("src/core/"))).select("file", "start_line", "func_id", "func_name").orderBy("file", "start_line", "func_id"),
        "SELECT file, start_line, func_id, func_name FROM dvs_functions WHERE starts_with(file, 'src/core/') ORDER BY 1, 2, 3")
@@ -94,11 +102,13 @@ def _(t):
 
 @query("f11_backed_by_taint", "WITH x AS (SELECT func_id, list(DISTINCT taint) AS taints FROM dag_nodes WHERE taint IS NOT NULL GROUP BY 1) SELECT e.edge_id, coalesce(list_contains(taints, source_taint_name) OR (length(source_taint_name) >= 2 AND len(list_filter(taints, lambda z: starts_with(z, source_taint_name || '->') OR starts_with(z, source_taint_name || '.'))) > 0), false) AS backed FROM dvs_task_graph_edges e LEFT JOIN x ON x.func_id = e.source_func_id")
 def _(t):
-    """the source taint is confirmed exactly, or as the struct of a confirmed field."""
-    taints = t("dag_nodes").where("taint is not null").groupBy(F.col("func_id").alias("source_func_id")).agg(F.collect_set("taint").alias("taints"))
-    s = F.col("source_taint_name")
-    field = F.exists("taints", lambda z: F.startswith(z, F.concat(s, F.lit("->"))) | F.startswith(z, F.concat(s, F.lit("."))))
-    return t("dvs_task_graph_edges").join(taints, "source_func_id", "left").select("edge_id", F.coalesce(F.array_contains("taints", s) | ((F.length(s) >= 2) & field), F.lit(False)).alias("backed"))
+    """the source taint is confirmed exactly, or as the struct of a confirmed field: equi-joins on the taint and on
+    every struct that a taint's name begins with."""
+    taints = t("dag_nodes").where("taint is not null and func_id is not null").select("func_id", "taint").distinct()
+    cuts = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.length("taint")), lambda k: F.when(F.substring(F.col("taint"), k, F.lit(1)) == ".", F.substring(F.col("taint"), F.lit(1), k - 1)).when(F.substring(F.col("taint"), k, F.lit(2)) == "->", F.substring(F.col("taint"), F.lit(1), k - 1))), lambda x: F.length(x) >= 2))
+    names = taints.select("func_id", F.explode(F.array_distinct(F.concat(F.array("taint"), cuts))).alias("name")).distinct()
+    marked = names.select(F.col("func_id").alias("source_func_id"), F.col("name").alias("source_taint_name"), F.lit(True).alias("_b"))
+    return t("dvs_task_graph_edges").join(marked, ["source_func_id", "source_taint_name"], "left").select("edge_id", F.coalesce("_b", F.lit(False)).alias("backed"))
 
 
 simple("f12_indirect_call", lambda t: t("dvs_task_graph_edges").select("edge_id", (F.contains("target_function_raw", F.lit("->")) | F.contains("target_function_raw", F.lit("*")) | F.startswith("target_function_raw", F.lit("("))).alias("by_dag"), (F.contains("target_function_raw", F.lit("->")) | F.contains("target_function_raw", F.lit("[")) | F.startswith("target_function_raw", F.lit("*"))).alias("by_edge")),
@@ -159,9 +169,8 @@ simple("j15_unmined", lambda t: t("dag_nodes").select("func_id").distinct().join
 simple("j16_args_by_position", lambda t: t("dvs_task_graph_edges").select("edge_id", F.posexplode(F.from_json("actual_args_json", "array<string>")).alias("pos", "arg")), "SELECT edge_id, CAST(i - 1 AS INT) AS pos, a[i] AS arg FROM (SELECT edge_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT edge_id, CAST(from_json(actual_args_json, '[\"VARCHAR\"]') AS VARCHAR[]) AS a FROM dvs_task_graph_edges WHERE json_valid(actual_args_json)))")
 simple("j17_taint_positions", lambda t: t("dvs_task_graph_edges").where("source_taint_name is not null").select("edge_id", F.array_join(F.filter(F.transform(F.from_json("actual_args_json", "array<string>"), lambda a, i: F.when(F.contains(a, F.col("source_taint_name")), (i + 1).cast("string"))), lambda x: x.isNotNull()), ",").alias("positions")),
        "SELECT edge_id, CASE WHEN actual_args_json IS NULL OR NOT json_valid(actual_args_json) THEN NULL ELSE array_to_string(list_filter(list_transform(CAST(from_json(actual_args_json, '[\"VARCHAR\"]') AS VARCHAR[]), lambda a, i: CASE WHEN contains(a, source_taint_name) THEN CAST(i AS VARCHAR) END), lambda x: x IS NOT NULL), ',') END AS positions FROM dvs_task_graph_edges WHERE source_taint_name IS NOT NULL")
-simple("j18_declaring_scope", lambda t: t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).join(t("supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name").agg(F.min(F.when(F.col("s_suppkey").isNotNull(), F.col("n_name")).otherwise(F.col("r_name"))).alias("declared_in")),
-       "SELECT n_name, min(CASE WHEN s_suppkey IS NOT NULL THEN n_name ELSE r_name END) AS declared_in FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
-simple("j20_either_end", lambda t: t("dvs_task_graph_edges").where((F.col("source_func_id") == "a4268b5c3f16573b") | (F.col("target_func_id") == "a4268b5c3f16573b")).select("edge_id", "source_func_id", "target_func_id"), "SELECT edge_id, source_func_id, target_func_id FROM dvs_task_graph_edges WHERE source_func_id = 'a4268b5c3f16573b' OR target_func_id = 'a4268b5c3f16573b'")
+simple("j20_either_end", lambda t: t("dvs_task_graph_edges").join(F.broadcast(_some_function(t)), (F.col("source_func_id") == F.col("func_id")) | (F.col("target_func_id") == F.col("func_id"))).select("edge_id", "source_func_id", "target_func_id"),
+       f"SELECT edge_id, source_func_id, target_func_id FROM dvs_task_graph_edges WHERE source_func_id = {_SOME} OR target_func_id = {_SOME}")
 simple("j21_edges_of_named", lambda t: t("dvs_task_graph_edges").join(t("dvs_functions").where(F.startswith("name_tail", F.lit("route"))).select(F.col("func_id").alias("source_func_id")), "source_func_id", "left_semi").groupBy("edge_kind").agg(n_()), "SELECT edge_kind, count(*) AS n FROM dvs_task_graph_edges WHERE source_func_id IN (SELECT func_id FROM dvs_functions WHERE starts_with(name_tail,'route')) GROUP BY 1")
 
 
@@ -205,10 +214,6 @@ def _(t):
 simple("a08_graph_summaries", lambda t: t("dvs_task_graph_edges").groupBy("task_id").agg(F.count("*").alias("edges"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status").isin("scheduled", "running", "done", "failed", "cancelled")).alias("followed"), F.count_if(F.col("status").isin("pending", "scheduled")).alias("open"), F.count_if(F.col("visible_in_tree") == 0).alias("hidden")),
        "SELECT task_id, count(*) AS edges, count(*) FILTER (WHERE status='done') AS done, count(*) FILTER (WHERE status IN ('scheduled','running','done','failed','cancelled')) AS followed, count(*) FILTER (WHERE status IN ('pending','scheduled')) AS open, count(*) FILTER (WHERE visible_in_tree=0) AS hidden FROM dvs_task_graph_edges GROUP BY 1")
 simple("a09_round_summary", lambda t: t("events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.round(F.sum(F.coalesce(F.nullif("value", F.lit(0.0)), F.get_json_object("props", "$.k").cast("double"))), 2).alias("cost")), "SELECT event_type, count(DISTINCT user_id) AS users, round(sum(coalesce(nullif(value, 0.0), CAST(json_extract_string(props,'$.k') AS DOUBLE))), 2) AS cost FROM events GROUP BY 1")
-simple("a10_evaluation_rollup", lambda t: t("events").groupBy("user_id", "event_type").agg(F.avg("value").alias("v"), F.count_if(F.col("value") >= 60).alias("p"), F.count("*").alias("c")).groupBy("event_type").agg(F.round(F.avg("v"), 6).alias("avg_score"), F.round(F.sum("p") / F.nullif(F.sum("c"), F.lit(0)), 6).alias("pass_rate")),
-       "SELECT event_type, round(avg(v), 6) AS avg_score, round(sum(p) / nullif(sum(c), 0), 6) AS pass_rate FROM (SELECT user_id, event_type, avg(value) AS v, count(*) FILTER (WHERE value >= 60) AS p, count(*) AS c FROM events GROUP BY 1, 2) GROUP BY 1")
-simple("a11_usage_merge", lambda t: t("lineitem").groupBy("l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("input"), F.round(F.sum("l_extendedprice"), 1).alias("cost")), "SELECT l_suppkey, round(sum(l_quantity), 2) AS input, round(sum(l_extendedprice), 1) AS cost FROM lineitem GROUP BY 1")
-simple("a12_cluster_metrics", lambda t: t("orders").agg(F.count("*").alias("tasks"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.countDistinct("o_custkey").alias("owners"), F.round(F.max("o_totalprice"), 2).alias("longest"), F.round(F.count_if(F.col("o_orderstatus") == "F") / F.count("*"), 6).alias("ratio")), "SELECT count(*) AS tasks, count(*) FILTER (WHERE o_orderstatus='O') AS open, count(DISTINCT o_custkey) AS owners, round(max(o_totalprice),2) AS longest, round(count(*) FILTER (WHERE o_orderstatus='F') / count(*), 6) AS ratio FROM orders")
 simple("a13_trace_stats", lambda t: t("dvs_task_graph_nodes").groupBy("task_id").agg(F.max("depth").alias("deepest"), n_()), "SELECT task_id, max(depth) AS deepest, count(*) AS n FROM dvs_task_graph_nodes GROUP BY 1")
 simple("a14_jobs_with_none", lambda t: t("dvs_task_graph_runs").select("task_id").distinct().join(t("dvs_task_graph_nodes").select("task_id", "status"), "task_id", "left").groupBy("task_id", F.coalesce("status", F.lit("none")).alias("st")).agg(F.count("status").alias("n")), "SELECT r.task_id, coalesce(n.status,'none') AS st, count(n.status) AS n FROM (SELECT DISTINCT task_id FROM dvs_task_graph_runs) r LEFT JOIN dvs_task_graph_nodes n ON n.task_id = r.task_id GROUP BY 1, 2")
 simple("a15_grouped_counts", lambda t: t("dvs_task_graph_sessions").groupBy("status", "session_role", "session_kind").agg(n_()), "SELECT status, session_role, session_kind, count(*) AS n FROM dvs_task_graph_sessions GROUP BY 1, 2, 3")
@@ -221,21 +226,9 @@ def _q_sql(q: float, out: str) -> str:
             f"FROM (SELECT *, coalesce(lag(le) OVER w, 0.0) AS lo, coalesce(lag(n) OVER w, 0) AS bn, max(n) OVER (PARTITION BY event_type) AS t FROM b WINDOW w AS (PARTITION BY event_type ORDER BY le)) WHERE n >= t * {q} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY le) = 1")
 
 
-@query("a16_route_summary", _H + f", a AS ({_q_sql(0.5, 'p50')}), c AS ({_q_sql(0.95, 'p95')}) SELECT e.event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(a.p50), 6) AS p50, round(max(c.p95), 6) AS p95, round(count(*) FILTER (WHERE value > 40) / count(*), 6) AS error_rate FROM events e JOIN a ON a.event_type = e.event_type JOIN c ON c.event_type = e.event_type GROUP BY 1")
-def _(t):
-    events = t("events")
-    buckets = ranking.cumulative_buckets(events, ["event_type"], "value", ranking.BOUNDS)
-    base = events.groupBy("event_type").agg(n_(), F.round(F.avg("value"), 6).alias("mean"), F.round(F.count_if(F.col("value") > 40) / F.count("*"), 6).alias("error_rate"))
-    for q, out in ((0.5, "p50"), (0.95, "p95")):
-        base = base.join(ranking.histogram_quantile(buckets, ["event_type"], q, out).withColumn(out, F.round(out, 6)), "event_type")
-    return base
-
-
 simple("a17_histogram_quantile", lambda t: ranking.histogram_quantile(ranking.cumulative_buckets(t("events"), ["event_type"], "value", ranking.BOUNDS), ["event_type"], 0.9, "p90").withColumn("p90", F.round("p90", 6)), _H + " SELECT event_type, round(p90, 6) AS p90 FROM (" + _q_sql(0.9, "p90") + ")")
 simple("a18_histogram_mean", lambda t: t("events").groupBy("event_type").agg(F.round(F.sum("value") / F.nullif(F.count("value"), F.lit(0)), 6).alias("mean")), "SELECT event_type, round(sum(value) / nullif(count(value), 0), 6) AS mean FROM events GROUP BY 1")
-simple("a19_coverage_tiers", lambda t: t("documents").groupBy("lang").agg(F.countDistinct("source").alias("families")).withColumn("tier", F.when(F.col("families") >= 7, "full").when(F.col("families") >= 4, "partial").otherwise("low")), "SELECT lang, count(DISTINCT source) AS families, CASE WHEN count(DISTINCT source) >= 7 THEN 'full' WHEN count(DISTINCT source) >= 4 THEN 'partial' ELSE 'low' END AS tier FROM documents GROUP BY 1")
 simple("a20_sum_by_label", lambda t: t("events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.round(F.sum("value"), 2).alias("total")), "SELECT json_extract_string(props,'$.k') AS k, round(sum(value), 2) AS total FROM events GROUP BY 1")
-simple("a21_alerts", lambda t: t("events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), n_()).withColumn("level", F.when(F.col("errors") * 3 > F.col("n"), "critical").when(F.col("errors") > 0, "warn").otherwise("ok")), "SELECT user_id, errors, n, CASE WHEN errors * 3 > n THEN 'critical' WHEN errors > 0 THEN 'warn' ELSE 'ok' END AS level FROM (SELECT user_id, count(*) FILTER (WHERE event_type='error') AS errors, count(*) AS n FROM events GROUP BY 1)")
 simple("a22_histogram", lambda t: ranking.cumulative_buckets(t("events"), ["event_type"], "value", ranking.BOUNDS).select("event_type", F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.format_string("%.3f", "le")).alias("le"), "n"), _H + " SELECT event_type, CASE WHEN le = 'inf'::DOUBLE THEN '+Inf' ELSE printf('%.3f', le) END AS le, n FROM b")
 simple("a23_failure_counts", lambda t: t("documents").groupBy(X.failure_class(F.lit(""), "text").alias("cls")).agg(n_()), "SELECT cls, count(*) AS n FROM (SELECT CASE " + " ".join("WHEN (" + " OR ".join(f"contains(lower(coalesce(text,'')), '{w}')" for w in ws) + f") THEN '{n}'" for n, ws in X.FAILURE_WORDS) + " ELSE 'none' END AS cls FROM documents) GROUP BY 1")
 simple("a24_status_by_project", lambda t: t("orders").groupBy("o_custkey", "o_orderstatus").agg(n_()), "SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -259,7 +252,6 @@ def _(t):
 
 
 simple("r04_deepest_hit", lambda t: t("dvs_task_graph_nodes").groupBy("task_id").agg(F.min_by("node_id", F.struct(-F.coalesce("depth", F.lit(-1)), "node_id")).alias("node_id")), "SELECT task_id, arg_min(node_id, (-coalesce(depth,-1), node_id)) AS node_id FROM dvs_task_graph_nodes GROUP BY 1")
-simple("r05_top_routes", lambda t: t("dvs_task_graph_edges").where("target_func_id <> ''").groupBy("target_func_id").agg(n_()).orderBy(F.desc("n"), "target_func_id").limit(6), "SELECT target_func_id, count(*) AS n FROM dvs_task_graph_edges WHERE target_func_id <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")
 simple("r06_primary_session", lambda t: t("dvs_task_graph_sessions").where("node_id is not null").groupBy("node_id").agg(F.min("session_relpath").alias("session")), "SELECT node_id, min(session_relpath) AS session FROM dvs_task_graph_sessions WHERE node_id IS NOT NULL GROUP BY 1")
 simple("r07_roots", lambda t: t("dvs_task_graph_edges").select("task_id", F.col("source_node_id").alias("node_id")).distinct().join(t("dvs_task_graph_edges").select(F.col("target_node_id").alias("node_id")).distinct(), "node_id", "left_anti").select("task_id", "node_id"), "SELECT DISTINCT task_id, source_node_id AS node_id FROM dvs_task_graph_edges WHERE source_node_id NOT IN (SELECT target_node_id FROM dvs_task_graph_edges WHERE target_node_id IS NOT NULL)")
 
@@ -271,7 +263,6 @@ def _(t):
 
 
 simple("r09_first_last", lambda t: t("events").groupBy("user_id").agg(F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last")), "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1")
-simple("l01_page", lambda t: ranking.page(t("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.desc("o_orderkey")], 20, 20), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2 DESC, 1 DESC LIMIT 20 OFFSET 20")
 simple("l03_graph_order", lambda t: t("dvs_task_graph_nodes").select("task_id", "node_id", F.unix_micros("loaded_at").alias("at"), F.row_number().over(Window.partitionBy("task_id").orderBy("depth", "function_name_raw", "node_id", "loaded_at")).alias("p")), "SELECT task_id, node_id, epoch_us(loaded_at) AS at, row_number() OVER (PARTITION BY task_id ORDER BY depth NULLS FIRST, function_name_raw NULLS FIRST, node_id, loaded_at) AS p FROM dvs_task_graph_nodes")
 simple("l04_fifo_batch", lambda t: t("orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey").limit(20).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 20")
 simple("l05_claim_order", lambda t: t("orders").where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("next")), "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS next FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")

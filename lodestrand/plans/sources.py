@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import scalar as X
 from lodestrand.functions import text
-from lodestrand.functions.branches import branch_contexts
 from lodestrand.operators import lookup, merge, ranking
 from lodestrand.plans.relational import QUERIES as _KNOWN
 from lodestrand.plans.relational import SQL as _KNOWN_SQL
@@ -26,50 +25,22 @@ simple("s08_tail", lambda t: lines.tail(_docs(t), "doc_id", 3).select("doc_id",
 simple("s09_session_lines", lambda t: lines.session_lines(_docs(t)).groupBy("doc_id", "kind").agg(F.count("*").alias("n")), _L + "SELECT doc_id, CASE WHEN NOT json_valid(line) OR NOT starts_with(trim(line),'{') THEN 'raw' WHEN json_extract_string(line,'$.type') = 'session' THEN 'header' ELSE 'event' END AS kind, count(*) AS n FROM l GROUP BY 1, 2")
 
 
-@query("s10_metric_samples", "SELECT 'events_seen' AS name, event_type AS type, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY event_type")
+@query("s10_metric_samples", "SELECT 'events_seen' AS name, event_type AS type, 'a' || chr(92) || 'n' || chr(34) || 'b' AS path, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY event_type")
 def _(t):
     """Prometheus text made of events, read back."""
-    made = t("events").groupBy("event_type").agg(F.count("*").alias("n")).select(F.concat(F.lit('events_seen{type="'), "event_type", F.lit('",x="a\\"b"} '), X.metric_value("n")).alias("line"))
-    return lines.metric_samples(made).select("name", F.col("labels")["type"].alias("type"), "value")
+    made = t("events").groupBy("event_type").agg(F.count("*").alias("n")).select(F.concat(F.lit('events_seen{type="first",path="a\\\\n\\"b",type="'), "event_type", F.lit('"} '), X.metric_value("n")).alias("line"))
+    return lines.metric_samples(made).select("name", F.col("labels")["type"].alias("type"), F.col("labels")["path"].alias("path"), "value")
 
 
 simple("s12_schema_drift_scan", lambda t: lines.unify([t("nation").select("n_name", "n_regionkey"), t("region").select(F.col("r_name").alias("n_name"))], {"n_regionkey": -1}), "SELECT n_name, n_regionkey FROM nation UNION ALL SELECT r_name, -1 FROM region")
 simple("s15_grep", lambda t: _docs(t).where(F.contains("line", F.lit("memcpy"))).select("doc_id", "line_no", "line"), _L + "SELECT doc_id, CAST(line_no AS INT) AS line_no, line FROM l WHERE contains(line, 'memcpy')")
 simple("s16_definition_grep", lambda t: _docs(t).where(F.col("line").rlike("\\b\\w*label\\w*\\s*\\(")).select("doc_id", "line_no").distinct(), _L + "SELECT DISTINCT doc_id, CAST(line_no AS INT) AS line_no FROM l WHERE regexp_matches(line, '\\b\\w*label\\w*\\s*\\(')")
-simple("s17_functions_in_text", lambda t: text.apply(t("documents"), ["doc_id"], "text", text.functions_in, "name string, signature string, first_line int, last_line int"))
-simple("s18_function_spans", lambda t: text.apply(t("documents"), ["doc_id"], "text", lambda s: [(n, b - a + 1) for n, _, a, b in text.functions_in(s)], "name string, n_lines int"))
-simple("s19_includes", lambda t: lines.includes(_docs(t), "doc_id"), _L + "SELECT DISTINCT doc_id, regexp_extract(line, '^\\s*#\\s*include\\s*[<\"]([^>\"]+)[>\"]', 1) AS header FROM l WHERE regexp_extract(line, '^\\s*#\\s*include\\s*[<\"]([^>\"]+)[>\"]', 1) <> ''")
-simple("s20_classes_in_text", lambda t: text.apply(t("documents"), ["doc_id"], "text", text.classes_in, "class_name string, base string"))
-simple("s21_calls_in_text", lambda t: text.apply(t("documents"), ["doc_id"], "text", text.calls_in, "callee string, line_no int"))
 simple("s22_trajectory", lambda t: t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "SELECT event_id, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events")
-simple("s23_tainted_list", lambda t: text.apply(t("documents"), ["doc_id"], "text", text.tainted_list, "func string, var string"))
 simple("s26_body_slice", lambda t: lines.body_slice(_docs(t), "doc_id", F.lit(2), F.lit(4)), _L + "SELECT doc_id, string_agg(printf('%4d | %s', line_no, line), chr(10) ORDER BY line_no) AS body FROM l WHERE line_no BETWEEN 2 AND 4 GROUP BY 1")
-simple("s27_callee_tables", lambda t: text.apply(t("documents"), ["doc_id"], "text", text.callee_table, "callee string, rest string"))
 simple("s28_best_file", lambda t: lines.best_file(t("documents").where("source is not null and text is not null").select("source", F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("size"), F.unix_micros("created_at").alias("mtime"), F.coalesce(F.contains(F.substring("text", 1, 500), F.lit("label")), F.lit(False)).alias("hit")), "source", "name", "size", "mtime", F.col("hit")),
        "SELECT source, arg_max(CAST(doc_id AS VARCHAR), (CASE WHEN contains(substr(text,1,500),'label') AND n_chars > 200 THEN 3 WHEN n_chars > 200 THEN 2 ELSE 1 END, coalesce(epoch_us(created_at), -9223372036854775807), CAST(doc_id AS VARCHAR))) AS name FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1")
-simple("x18_split_arguments", lambda t: text.apply(t("dvs_functions"), ["func_id"], "signature", lambda s: [(len(text.split_arguments(s.partition("(")[2].rpartition(")")[0])),)], "n_args int"))
-simple("x22_extract_json", lambda t: text.apply(t("documents"), ["doc_id"], "text", lambda s: [text.extract_json(s)], "json string, actions string"))
-simple("x32_callee_claims", lambda t: text.apply(t("documents"), ["doc_id"], "text", text.callee_claims, "callee string, at int, around string"))
-simple("x31_verified_claims", lambda t: text.apply(t("documents"), ["doc_id"], "text", lambda s: sorted({(c.rsplit("::", 1)[-1],) for c, _, _ in text.callee_claims(s)}), "callee string").join(t("dvs_functions").select(F.col("name_tail").alias("callee"), F.lit(True).alias("_k")).distinct(), "callee", "left").groupBy("doc_id").agg(F.count_if("_k").alias("known"), F.count("*").alias("claimed")).withColumn("verdict", F.when(F.col("known") == F.col("claimed"), "pass").when(F.col("known") == 0, "fail").otherwise("partial")))
 
 
-@query("g15_forked_paths")
-def _(t):
-    """Paths through the ordered call sites of each function's graph: a from_node with several callees is a branch."""
-    steps = t("dag_edges").where("kind = 'callee' and sink_ref is not null and from_node is not null").select(
-        "func_id", "task_id", "taint_signature", F.struct(F.coalesce("line", F.lit(0)).alias("line"), F.col("from_node").cast("string").alias("group"), F.col("to_node").cast("string").alias("arm"), F.array("sink_ref").alias("targets")).alias("s"))
-    packed = steps.groupBy("func_id", "taint_signature", "task_id").agg(F.to_json(F.array_sort(F.collect_set("s"))).alias("steps"))
-    return text.apply(packed, ["func_id", "taint_signature", "task_id"], "steps", _fork, "path_no int, path string")
-
-
-def _fork(steps: str):
-    import json
-
-    return ((k, ">".join(p)) for k, p in enumerate(text.forked_paths(json.loads(steps))))
-
-
-simple("g21_branch_contexts", lambda t: text.apply(t("documents"), ["doc_id"], "text", branch_contexts, "callee string, line_no int, branch string"))
-
 # ---- lookups that share the layers of F06
 _LAYERS = _KNOWN_SQL["f06_layered_name_lookup"]
 
@@ -89,7 +60,7 @@ def _(t):
     return _resolved(t).join(callers, "probe").groupBy("func_id").agg(F.countDistinct("source_func_id").alias("callers"))
 
 
-simple("l02_page_with_total", lambda t: ranking.page(t("dvs_functions").where("func_name is not null").select("func_name").distinct(), [F.asc("func_name")], 10, 10).withColumn("total", F.lit(t("dvs_functions").agg(F.countDistinct("func_name")).first()[0])), "SELECT func_name, (SELECT count(DISTINCT func_name) FROM dvs_functions) AS total FROM (SELECT DISTINCT func_name FROM dvs_functions WHERE func_name IS NOT NULL ORDER BY 1 LIMIT 10 OFFSET 10)")
+simple("l02_page_with_total", lambda t: ranking.page(t("dvs_functions").where("func_name is not null").select("func_name").distinct(), [F.asc("func_name")], 10, 10).crossJoin(F.broadcast(t("dvs_functions").agg(F.countDistinct("func_name").alias("total")))), "SELECT func_name, (SELECT count(DISTINCT func_name) FROM dvs_functions) AS total FROM (SELECT DISTINCT func_name FROM dvs_functions WHERE func_name IS NOT NULL ORDER BY 1 LIMIT 10 OFFSET 10)")
 simple("w12_delete_events", lambda t: merge.cleared(t("events").select("event_id", "user_id"), t("events").where("event_type = 'error'").select("event_id"), "event_id"), "SELECT event_id, user_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')")
 
 # ---- not from the inventory: Spark's own windows, grouping sets and set operations on the event table

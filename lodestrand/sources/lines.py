@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrand.functions.scalar import label_unescape
+
 
 def text_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, line): every line of a text column, numbered from 1."""
@@ -43,11 +45,15 @@ def session_lines(lines: DataFrame) -> DataFrame:
 
 
 def metric_samples(lines: DataFrame) -> DataFrame:
-    """(name, labels map, value) of Prometheus text lines; comments and unreadable values are skipped."""
+    """(name, labels map, value) of Prometheus text lines; comments and unreadable values are skipped. Label
+    values are unescaped; of a repeated label the last value counts."""
     shape = '^([A-Za-z_:][A-Za-z0-9_:]*)(?:\\{(.*)\\})?\\s+([^\\s]+)(?:\\s+\\d+)?$'
     part = lambda k: F.regexp_extract(F.trim("line"), shape, k)
     pair = '([A-Za-z_][A-Za-z0-9_]*)="((?:[^"\\\\]|\\\\.)*)"'
-    labels = F.map_from_arrays(F.regexp_extract_all(part(2), F.lit(pair), F.lit(1)), F.regexp_extract_all(part(2), F.lit(pair), F.lit(2)))
+    names, texts = (F.regexp_extract_all(part(2), F.lit(pair), F.lit(k)) for k in (1, 2))
+    pairs = F.zip_with(names, texts, lambda k, v: F.struct(k.alias("k"), label_unescape(v).alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(names, i + F.lit(2), F.size(names)), lambda later: later == p["k"]))
+    labels = F.map_from_entries(last)
     value = F.when(F.lower(part(3)) == "+inf", F.lit(float("inf"))).otherwise(part(3).try_cast("double"))
     return lines.where(~F.startswith(F.trim("line"), F.lit("#"))).select(part(1).alias("name"), labels.alias("labels"), value.alias("value")).where("name <> '' and value is not null")
 
