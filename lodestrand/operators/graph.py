@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.session import durable, release
@@ -183,16 +183,16 @@ def path_facts(paths: DataFrame, facts: DataFrame, fact: str) -> DataFrame:
 
 
 def fold_state(steps: DataFrame, keys: list[str], order: list[str], clears: Column, starts: Column) -> DataFrame:
-    """The ordered steps of a chain with their taint state, folded inside one array per chain.
+    """The ordered steps of a chain with their taint state.
 
-    A clearing step makes the state clean from itself on, a starting step tainted; chains begin tainted.
+    A clearing step makes the state clean from itself on, a starting step tainted; chains begin tainted. The state is
+    that of the last step before that clears or starts: one running window, linear in the steps.
     """
-    item = F.struct(*order, clears.alias("_c"), starts.alias("_s"))
-    chain = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_x"))
-    after = lambda acc, x: F.when(x["_c"], F.lit(False)).when(x["_s"], F.lit(True)).otherwise(acc)
-    at = F.transform("_x", lambda x, i: F.struct(x.alias("x"), F.aggregate(F.slice("_x", F.lit(1), i + 1), F.lit(True), after).alias("tainted"), i.alias("step")))
-    rows = chain.select(*keys, F.explode(at).alias("_r"))
-    return rows.select(*keys, "_r.step", *[F.col(f"_r.x.{c}").alias(c) for c in order], F.when(F.col("_r.tainted"), "tainted").otherwise("clean").alias("state"))
+    along = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    change = F.when(clears, F.lit(False)).when(starts, F.lit(True))
+    tainted = F.coalesce(F.last(change, ignorenulls=True).over(along), F.lit(True))
+    step = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return steps.select(*keys, step.alias("step"), *order, F.when(tainted, "tainted").otherwise("clean").alias("state"))
 
 
 def callee_effect(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,6 +16,15 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return packed.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def first_by(df: DataFrame, keys: list[str], order: list[str], count: int) -> DataFrame:
+    """The first ``count`` rows of each key with their place (_place) and the number of rows of the key (_count). Ranks are cut
+    before the shuffle's sort holds a group: Spark keeps ``count`` rows of a key per input partition."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    totals = df.groupBy(*keys).agg(F.count("*").alias("_count"))
+    top = df.withColumn("_place", place).where(F.col("_place") <= count)
+    return top.join(totals, [top[k].eqNullSafe(totals[k]) for k in keys]).select(*[top[c] for c in df.columns], "_place", "_count")
+
+
 def adjacent(df: DataFrame, group: str, item: str, order: list[str]) -> DataFrame:
     """Pairs of neighbouring items in a group."""
     nxt = F.lead(item).over(Window.partitionBy(group).orderBy(*order))
