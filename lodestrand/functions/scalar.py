@@ -16,6 +16,24 @@ OPERATION_ALIASES = {
     "dlsym": "call_arg", "dereference": "field", "field_write": "field", "field_read": "field", "member": "field", "log": "sink", "logging": "sink",
     "file": "sink", "path": "sink",
 }
+OPERATIONS = ("assignment", "call_arg", "return", "field", "container", "condition", "sink", "terminate", "validation", "sanitizer", "unknown")
+SANITIZER_EFFECTS = ("none", "partial", "complete", "unknown")
+# Words of error texts; all words of a group must occur, one of each tuple is enough.
+ERROR_KINDS = (
+    ("ScriptValidationFailed", (("script_validation_failed",),)), ("ForeignKeyConstraint", (("foreign key constraint failed",),)),
+    ("RootFunctionAnalysisFailed", (("root function analysis failed",),)), ("NameError", (("name '",), ("is not defined",))),
+    ("FileExistsError", (("[errno 17]", "file exists"),)), ("DirectoryNotEmptyError", (("[errno 39]", "directory not empty"),)), ("OSError", (("[errno",),)),
+    ("ContextOverflow", (("context length", "input tokens"),)), ("AuthError", (("key authentication", "401"),)), ("NoModelError", (("no model",),)),
+    ("NoModelError", (("model",), ("not found",))), ("TimeoutError", (("timeout", "timed out"),)), ("ConnectionError", (("connection",), ("refused", "reset", "unreachable"))),
+)
+ERROR_STAGES = (
+    ("worker", (("worker", "taint"),)), ("round", (("round",),)), ("trace", (("trace",),)), ("vuln_mining", (("vuln", "mining"),)), ("orchestrator", (("orchestrat",),)), ("dispatch", (("dispatch", "lease"),)),
+)
+EXTERNAL_REASONS = (
+    ("任务源文件/输入丢失", (("no such file", "not a directory", "源文件", "input_path", "does not exist", "找不到", "文件不存在", "invalid_input"),)),
+    ("模型选择错误", (("model",), ("not found", "不可用", "no model", "无可用"))), ("API key 错误", (("401", "unauthorized", "invalid api key", "key authentication", "认证失败"),)), ("API key 错误", (("api key",), ("invalid", "无效"))),
+    ("模型超时/不可达", (("timed out", "timeout", "http 000", "connection refused", "connection reset", "unreachable", "couldn't connect", "connection error"),)),
+)
 CPU_UNITS = {"n": 1e-6, "u": 1e-3, "m": 1.0, "": 1e3}
 MEMORY_UNITS = {"Ki": 2**10, "Mi": 2**20, "Gi": 2**30, "Ti": 2**40, "Pi": 2**50, "Ei": 2**60, "K": 10**3, "M": 10**6, "G": 10**9, "T": 10**12, "P": 10**15, "E": 10**18, "": 1}
 FAILURE_WORDS = (("cancel", ("cancel",)), ("timeout", ("timeout", "timed out", "deadline")), ("lease_lost", ("lease",)), ("validation", ("invalid", "validation")), ("error", ("error",)), ("failed", ("failed",)))
@@ -79,6 +97,13 @@ def line_number(c: Column | str) -> Column:
     return F.nullif(F.regexp_extract(_c(c), "(\\d+)", 1), F.lit("")).cast("int")
 
 
+def line_range(c: Column | str) -> Column:
+    """struct(first, last) of 765, "765-767", [765] and [765, 767]; last is 0 for one line, both are 0 if unreadable."""
+    shape = r"^\s*\[?\s*(\d+)\s*(?:[-,]\s*(\d+))?\s*\]?\s*$"
+    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(_c(c), shape, k), F.lit("")).cast("int"), F.lit(0))
+    return F.struct(part(1).alias("first"), part(2).alias("last"))
+
+
 def line_bucket(c: Column | str) -> Column:
     """Tens below the line; 289 and 290 differ."""
     return (F.floor(_c(c) / 10) * 10).cast("int")
@@ -144,28 +169,32 @@ def failure_class(status: Column | str, reason: Column | str) -> Column:
     return first_of([(any_word(text, words), name) for name, words in FAILURE_WORDS], "none")
 
 
+def by_words(c: Column | str, rules: tuple) -> Column:
+    """Name of the first rule all of whose word groups occur in the text, case aside; NULL if none fits."""
+    e = F.lower(_c(c))
+
+    def holds(groups: tuple) -> Column:
+        out = F.lit(True)
+        for words in groups:
+            out = out & any_word(e, words)
+        return out
+
+    return first_of([(holds(groups), name) for name, groups in rules])
+
+
 def error_kind(c: Column | str) -> Column:
     """Kind of an error text; NULL if nothing fits."""
-    e = F.lower(_c(c))
-    has = lambda *w: any_word(e, w)
-    return first_of([
-        (has("script_validation_failed"), "ScriptValidationFailed"), (has("foreign key constraint failed"), "ForeignKeyConstraint"),
-        (has("root function analysis failed"), "RootFunctionAnalysisFailed"), (has("name '") & has("is not defined"), "NameError"),
-        (has("[errno 17]", "file exists"), "FileExistsError"), (has("[errno 39]", "directory not empty"), "DirectoryNotEmptyError"), (has("[errno"), "OSError"),
-        (has("context length", "input tokens"), "ContextOverflow"), (has("key authentication", "401"), "AuthError"),
-        (has("no model") | (has("model") & has("not found")), "NoModelError"), (has("timeout", "timed out"), "TimeoutError"),
-        (has("connection") & has("refused", "reset", "unreachable"), "ConnectionError"),
-    ])
+    return by_words(c, ERROR_KINDS)
 
 
 def error_stage(c: Column | str) -> Column:
     """Stage an error text points to."""
-    e = F.lower(_c(c))
-    has = lambda *w: any_word(e, w)
-    return first_of([
-        (has("worker", "taint"), "worker"), (has("round"), "round"), (has("trace"), "trace"), (has("vuln", "mining"), "vuln_mining"),
-        (has("orchestrat"), "orchestrator"), (has("dispatch", "lease"), "dispatch"),
-    ])
+    return by_words(c, ERROR_STAGES)
+
+
+def external_reason(c: Column | str) -> Column:
+    """Why an error comes from outside; NULL for errors of the service itself."""
+    return by_words(c, EXTERNAL_REASONS)
 
 
 def abnormal_code(status: Column | str, message: Column | str) -> Column:
@@ -177,12 +206,27 @@ def abnormal_code(status: Column | str, message: Column | str) -> Column:
     ], "orchestration_failed"))
 
 
-def operation(c: Column | str, valid: tuple[str, ...] = ("assign", "return", "call_arg", "field", "sink", "terminate", "unknown")) -> Column:
+def operation(c: Column | str, valid: tuple[str, ...] = OPERATIONS) -> Column:
     """Operation word by alias; words that are neither alias nor valid are unknown."""
     word = F.lower(F.trim(F.coalesce(F.nullif(_c(c), F.lit("")), F.lit("unknown"))))
     return F.coalesce(lookup(OPERATION_ALIASES, word), F.when(word.isin(*valid), word), F.lit("unknown"))
 
 
+def graph_edge(source: Column, target: Column, line: Column, evidence: Column, op: Column, effect: Column) -> Column:
+    """An edge with its defaults filled in and the warnings of what was wrong: struct(from, to, line, evidence, operation,
+    effect, warnings). A missing end of a sink or terminating edge is named after it."""
+    text = lambda c: F.nullif(F.trim(c.cast("string")), F.lit(""))
+    made, word = operation(op), F.lower(F.trim(F.coalesce(effect.cast("string"), F.lit("none"))))
+    missing = [F.when(text(c).isNull(), f"missing {name}") for name, c in (("from", source), ("to", target), ("line", line), ("evidence", evidence))]
+    raw = F.coalesce(text(op), F.lit("unknown"))
+    wrong = [F.when(~raw.isin(*OPERATIONS), F.concat(F.lit("unknown operation: "), raw)), F.when(~word.isin(*SANITIZER_EFFECTS), F.concat(F.lit("invalid sanitizer_effect: "), word))]
+    return F.struct(
+        F.coalesce(text(source), F.lit("unknown")).alias("from"), F.coalesce(text(target), F.when(made.isin("terminate", "sink"), made), F.lit("unknown")).alias("to"),
+        F.coalesce(text(line), F.lit("unknown")).alias("line"), F.coalesce(text(evidence), F.lit("not provided")).alias("evidence"), made.alias("operation"),
+        F.when(word.isin(*SANITIZER_EFFECTS), word).otherwise("unknown").alias("effect"), F.array_compact(F.array(*missing, *wrong)).alias("warnings"),
+    )
+
+
 def fact_kinds(c: Column | str) -> Column:
     """Kinds of validation facts a text states, in fixed order; ['unknown'] if none."""
     low = F.lower(_c(c))
@@ -339,16 +383,15 @@ def epoch_iso(c: Column | str) -> Column:
     return F.date_format(F.timestamp_seconds(F.floor(_c(c))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def evaluation(c: Column | str) -> Column:
-    """X38, markdown and n/100 legs: struct(pass, score) of a review text."""
-    text = F.trim(F.regexp_replace(_c(c), "(?s)<think>.*?</think>", ""))
-    score = F.regexp_extract(text, "##\\s*(?:评分|[Ss]core)[：:=]\\s*(\\d+)", 1).try_cast("int")
-    said = F.lower(F.regexp_extract(text, "(?i)##\\s*(?:通过|pass)[：:=]\\s*(是|否|true|false|yes|no|pass|fail)", 1))
-    loose = F.regexp_extract(text, "(\\d{1,3})\\s*/\\s*100", 1).try_cast("int")
-    capped = F.when(score.isNotNull(), F.least(score, F.lit(100)))
-    return F.when(capped > 0, F.struct(
-        F.when(said != "", said.isin("是", "true", "yes", "pass")).otherwise(capped >= 60).alias("pass"), capped.alias("score")
-    )).otherwise(F.struct(F.coalesce(loose >= 70, F.lit(False)).alias("pass"), F.coalesce(loose, F.lit(0)).alias("score")))
+def fingerprint(parts: dict[str, Column]) -> Column:
+    """SHA-256 of the parts as JSON with sorted keys; NULL parts count as ''."""
+    cells = [F.coalesce(parts[k].cast("string"), F.lit("")).alias(k) for k in sorted(parts)]
+    return F.sha2(F.to_json(F.struct(*cells)), 256)
+
+
+def internal_event(c: Column | str, public: dict[str, str]) -> Column:
+    """The internal type of an event's public type (``public``: internal -> public); others stay as they are."""
+    return F.coalesce(lookup({v: k for k, v in public.items()}, _c(c)), _c(c))
 
 
 def budget_cut(c: Column | str, tokens: int) -> Column:

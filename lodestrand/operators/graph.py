@@ -47,16 +47,16 @@ def _visit_batches(max_depth: int):
     return run
 
 
-def first_visit(edges: DataFrame, roots: DataFrame, max_depth: int = 10_000, local_links: int = LOCAL_LINKS) -> DataFrame:
+def first_visit(edges: DataFrame, roots: DataFrame, max_depth: int = 2**31 - 1, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(scope, node, depth, parent) of every node some root of its scope reaches.
 
     ``edges``: scope, src, dst. ``roots``: scope, node. A node is visited once, at its least depth; of
-    several parents at that depth the smallest counts. Scopes with at most ``local_links`` links are walked
+    several parents at that depth the smallest counts. Scopes with at most ``local_links`` links and roots are walked
     one per row after one shuffle; larger ones round by round over the cluster.
     """
     edges = durable(edges.select("scope", "src", "dst").where("scope is not null and src is not null and dst is not null").distinct())
     roots = roots.select("scope", "node").where("scope is not null and node is not null").distinct()
-    large = edges.groupBy("scope").count().where(F.col("count") > local_links).select("scope")
+    large = edges.select("scope").unionAll(roots.select("scope")).groupBy("scope").count().where(F.col("count") > local_links).select("scope")
     hot = not large.isEmpty()
     small = edges.join(large, "scope", "left_anti") if hot else edges
     small_roots = roots.join(large, "scope", "left_anti") if hot else roots
@@ -87,20 +87,6 @@ def _visit_rounds(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFra
     return seen
 
 
-def expand_paths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
-    """(scope, node, depth, path, cycle): every path from a root, cut where a node
-    repeats on its own path (that row has cycle = true and is not followed). ``max_depth`` bounds the paths."""
-    level = roots.select("scope", "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(False).alias("cycle"))
-    out = level
-    links = edges.select("scope", "src", "dst").where("dst is not null").distinct()
-    for depth in range(1, max_depth + 1):
-        open_ = level.where("not cycle").select("scope", F.col("node").alias("src"), "path")
-        level = open_.join(links, ["scope", "src"]).select(
-            "scope", F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("dst")).alias("path"), F.array_contains("path", F.col("dst")).alias("cycle"))
-        out = out.unionAll(level)
-    return out
-
-
 def _path_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"scope": pa.string(), "node": pa.string(), "depth": pa.int32(), "path": pa.list_(pa.string()), "cycle": pa.bool_()}
     pack = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
@@ -131,14 +117,15 @@ def _path_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def all_paths(edges: DataFrame, roots: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
-    """As ``expand_paths`` without a bound, until no open path is left.
+    """(scope, node, depth, path, cycle): every path from a root, until no open path is left; cut
+    where a node repeats on its own path (that row has cycle = true and is not followed).
 
-    Scopes with at most ``local_links`` links are expanded one per row after one shuffle; larger ones round by
+    Scopes with at most ``local_links`` links and roots are expanded one per row after one shuffle; larger ones round by
     round over the cluster.
     """
     edges = durable(edges.select("scope", "src", "dst").where("scope is not null and src is not null and dst is not null").distinct())
     roots = roots.select("scope", "node").where("scope is not null and node is not null").distinct()
-    large = edges.groupBy("scope").count().where(F.col("count") > local_links).select("scope")
+    large = edges.select("scope").unionAll(roots.select("scope")).groupBy("scope").count().where(F.col("count") > local_links).select("scope")
     hot = not large.isEmpty()
     small = edges.join(large, "scope", "left_anti") if hot else edges
     small_roots = roots.join(large, "scope", "left_anti") if hot else roots
@@ -167,7 +154,8 @@ def _path_rounds(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def all_path_facts(paths: DataFrame, facts: DataFrame, fact: str) -> DataFrame:
-    """As ``path_facts`` for long paths: their nodes are joined under a number instead of the whole path."""
+    """(path, facts): distinct facts that hold along a path, root to end, sorted. ``facts``: node, ``fact``. Nodes are joined
+    under the path's number instead of the whole path."""
     numbered = durable(paths.select("path").distinct().withColumn("_id", F.monotonically_increasing_id()))
     along = numbered.select("_id", F.explode("path").alias("node"))
     held = along.join(facts.where(F.col(fact).isNotNull()).select("node", fact).distinct(), "node")
@@ -175,13 +163,6 @@ def all_path_facts(paths: DataFrame, facts: DataFrame, fact: str) -> DataFrame:
     return numbered.join(found, "_id").select("path", "facts")
 
 
-def path_facts(paths: DataFrame, facts: DataFrame, fact: str) -> DataFrame:
-    """(path, facts): distinct facts that hold along a path, root to end, sorted. ``facts``: node, ``fact``."""
-    along = paths.select(F.array_join("path", ">").alias("path"), F.explode("path").alias("node")).distinct()
-    held = along.join(facts.where(F.col(fact).isNotNull()).select("node", fact).distinct(), "node")
-    return held.groupBy("path").agg(F.array_sort(F.collect_set(fact)).alias("facts"))
-
-
 def fold_state(steps: DataFrame, keys: list[str], order: list[str], clears: Column, starts: Column) -> DataFrame:
     """The ordered steps of a chain with their taint state.
 

@@ -81,14 +81,33 @@ def best_root(items: DataFrame, path: str, roots: DataFrame, root: str, rank: li
     return pairs.groupBy(*keys).agg(F.max_by("_root", order).alias(root))
 
 
-def siblings(arms: DataFrame, group: str, arm: str) -> DataFrame:
-    """Per (group, arm) the sorted other arms of the group; groups of one arm give none.
+def matched_root(procs: DataFrame, key: str, paths: list[tuple[str, str, int]], command: str, roots: DataFrame, root: str, owner: str, rank: list[Column]) -> DataFrame:
+    """(key, owner, source, root): the best root of each process over several path columns and its command.
 
-    The set of arms is built once per group and the own arm removed, instead of pairing all rows.
+    ``paths``: (column, source, source rank); a root matches a path if it is the path or one of its folders. A root
+    matches the command, with rank 1, if it is a word of it or a folder of one. Of all matches the largest (source
+    rank, length of the root, *``rank`` of the root's row, owner) counts. All tests are equi-joins on the folders of paths.
     """
-    sets = arms.where(F.col(group).isNotNull() & F.col(arm).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(arm)).alias("_arms"))
-    rows = sets.where(F.size("_arms") > 1).select(group, "_arms", F.explode("_arms").alias(arm))
-    return rows.select(group, arm, F.array_except("_arms", F.array(arm)).alias("siblings"))
+    legs = [procs.select(key, F.lit(n).alias("_n"), F.lit(source).alias("source"), F.explode(ancestors_of_path(F.col(c))).alias("_root")) for c, source, n in paths]
+    words = procs.select(key, F.explode(F.split(command, "[\\s=:,;\"']+")).alias("_w"))
+    legs.append(words.select(key, F.lit(1).alias("_n"), F.lit("command").alias("source"), F.explode(ancestors_of_path(F.col("_w"))).alias("_root")))
+    every = legs[0]
+    for leg in legs[1:]:
+        every = every.unionByName(leg)
+    known = roots.select(F.col(root).alias("_root"), F.col(owner).alias("owner"), *[c.alias(f"_r{k}") for k, c in enumerate(rank)]).where("_root <> ''")
+    hits = every.where("_root <> ''").distinct().join(known, "_root")
+    order = F.struct("_n", F.length("_root").alias("_l"), *[f"_r{k}" for k in range(len(rank))], "owner", "source", "_root")
+    best = hits.groupBy(key).agg(F.max(order).alias("_b"))
+    return best.select(key, "_b.owner", "_b.source", F.col("_b._root").alias("root"))
+
+
+def siblings(arms: DataFrame, group: str, arm: str) -> DataFrame:
+    """(group, arm, place, arms): the arms that exclude each other, by membership; every other arm of the same group is a
+    sibling. Groups of one arm give none; no list of a group is built, and no pairs."""
+    once = arms.where(F.col(group).isNotNull() & F.col(arm).isNotNull()).select(group, arm).distinct()
+    sizes = once.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("arms")).where("arms > 1")
+    place = F.row_number().over(Window.partitionBy(group).orderBy(arm))
+    return once.join(sizes, once[group] == sizes["_g"]).select(group, arm, place.alias("place"), "arms")
 
 
 def ready(units: DataFrame, unit: str, needs: DataFrame, need: str, done: DataFrame, done_key: str) -> DataFrame:

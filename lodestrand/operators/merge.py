@@ -55,3 +55,8 @@ def cleared(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def replaced(rows: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """All rows of the keys in ``new`` give way to ``new``."""
     return rows.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def appended(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows and new rows, nothing replaced; columns the new rows lack are NULL."""
+    return rows.unionByName(new, allowMissingColumns=True)

@@ -151,8 +151,24 @@ simple("j09_best_root", lambda t: lookup.best_root(t("dvs_functions").select("fi
        "WITH r AS (SELECT DISTINCT regexp_extract(file,'^(.*)/[^/]*$',1) AS root FROM dvs_functions UNION SELECT DISTINCT regexp_extract(file,'^([^/]*)/',1) FROM dvs_functions) SELECT file, arg_max(root, length(root)) AS root FROM (SELECT DISTINCT file FROM dvs_functions) f JOIN r ON file = root OR starts_with(file, root || '/') GROUP BY 1")
 simple("j10_interval_join", lambda t: lookup.interval_join(t("dvs_task_graph_edges").where("call_line is not null and source_file is not null").select("edge_id", F.col("source_file").alias("file"), F.col("call_line").alias("line")).distinct(), t("dvs_functions").where("start_line is not null and end_line is not null"), "file", "line", "start_line", "end_line", "func_id"),
        "SELECT e.edge_id, e.file, e.line, coalesce(arg_min(f.func_id, (f.start_line, f.end_line, f.func_id)), '<global:' || e.file || ':' || e.line || '>') AS func_id FROM (SELECT DISTINCT edge_id, source_file AS file, call_line AS line FROM dvs_task_graph_edges WHERE call_line IS NOT NULL AND source_file IS NOT NULL) e LEFT JOIN dvs_functions f ON f.file = e.file AND e.line BETWEEN f.start_line AND f.end_line GROUP BY 1, 2, 3")
-simple("j11_mutex_siblings", lambda t: lookup.siblings(t("dag_edges").select(F.concat_ws("|", "func_id", "task_id", F.col("from_node").cast("string")).alias("grp"), "to_node").where("from_node is not null"), "grp", "to_node").select("grp", "to_node", F.array_join(F.transform("siblings", lambda x: x.cast("string")), ",").alias("siblings")),
-       "WITH a AS (SELECT DISTINCT concat_ws('|', func_id, task_id, CAST(from_node AS VARCHAR)) AS grp, to_node FROM dag_edges WHERE from_node IS NOT NULL AND to_node IS NOT NULL) SELECT x.grp, x.to_node, string_agg(CAST(y.to_node AS VARCHAR), ',' ORDER BY y.to_node) AS siblings FROM a x JOIN a y ON x.grp = y.grp AND x.to_node <> y.to_node GROUP BY 1, 2")
+simple("j11_mutex_siblings", lambda t: lookup.siblings(t("dag_edges").where("from_node is not null").select(F.concat_ws("|", "func_id", "task_id", F.col("from_node").cast("string")).alias("grp"), "to_node"), "grp", "to_node"),
+       "SELECT grp, to_node, CAST(row_number() OVER (PARTITION BY grp ORDER BY to_node) AS INT) AS place, arms FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS arms FROM (SELECT DISTINCT concat_ws('|', func_id, task_id, CAST(from_node AS VARCHAR)) AS grp, to_node FROM dag_edges WHERE from_node IS NOT NULL AND to_node IS NOT NULL)) WHERE arms > 1")
+
+
+@query("j09_matched_process", """
+WITH s AS (SELECT DISTINCT session_relpath AS proc, task_id FROM dvs_task_graph_sessions WHERE session_relpath IS NOT NULL),
+r AS (SELECT 'sessions/' || task_id AS root, task_id AS owner, epoch_us(max(loaded_at)) AS u FROM dvs_task_graph_runs GROUP BY 2 UNION ALL SELECT 'sessions/' || task_id || '/judges', task_id, 0 FROM dvs_task_graph_runs GROUP BY 2),
+h AS (SELECT proc, 3 AS n, 'session' AS source, root, owner, u FROM s JOIN r ON proc = root OR starts_with(proc, root || '/')
+UNION ALL SELECT proc, 2, 'cwd', root, owner, u FROM s JOIN r ON root = 'sessions/' || s.task_id
+UNION ALL SELECT proc, 1, 'command', root, owner, u FROM s JOIN r ON root = 'sessions/' || s.task_id OR root = 'sessions/' || s.task_id || '/judges')
+SELECT proc, owner, source, root FROM (SELECT *, row_number() OVER (PARTITION BY proc ORDER BY n DESC, length(root) DESC, u DESC, owner DESC, source DESC, root DESC) AS p FROM h) WHERE p = 1""")
+def _(t):
+    """The task of each process, by its session path, its working folder and its command, the best match first."""
+    folder = F.concat(F.lit("sessions/"), "task_id")
+    procs = t("dvs_task_graph_sessions").where("session_relpath is not null").select(F.col("session_relpath").alias("proc"), F.col("session_relpath").alias("path"), folder.alias("cwd"), F.concat(F.lit("run --dir="), folder, F.lit("/judges -v")).alias("command")).distinct()
+    runs = t("dvs_task_graph_runs").groupBy("task_id").agg(F.unix_micros(F.max("loaded_at")).alias("u"))
+    roots = runs.select(folder.alias("root"), "task_id", "u").unionByName(runs.select(F.concat(folder, F.lit("/judges")).alias("root"), "task_id", F.lit(0).cast("long").alias("u")))
+    return lookup.matched_root(procs, "proc", [("path", "session", 3), ("cwd", "cwd", 2)], "command", roots, "root", "task_id", [F.col("u")])
 
 
 @query("j12_session_edges", "WITH p AS (SELECT node_id, min(session_relpath) AS s FROM dvs_task_graph_sessions WHERE node_id IS NOT NULL GROUP BY 1) SELECT DISTINCT e.edge_id, a.s AS from_session, b.s AS to_session FROM dvs_task_graph_edges e JOIN p a ON a.node_id = e.source_node_id JOIN p b ON b.node_id = e.target_node_id")

@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from lodestrand.functions import scalar as X
 from lodestrand.functions import text
 from lodestrand.functions.branches import branch_contexts
 from lodestrand.operators import verify
@@ -36,6 +37,14 @@ simple("s17_functions_in_text", lambda t: text.apply(_sources(t), ["func_id"], "
        f"SELECT func_id, func_name AS name, signature, 4 AS first_line, 10 AS last_line FROM {_SOURCES}")
 simple("s18_function_spans", lambda t: text.apply(_sources(t), ["func_id"], "source", lambda s: [(n, b - a + 1) for n, _, a, b in text.functions_in(s)], "name string, n_lines int"),
        f"SELECT func_id, func_name AS name, 7 AS n_lines FROM {_SOURCES}")
+@query("s16_definition_grep", f"WITH d AS (SELECT DISTINCT func_id, func_name AS name FROM {_SOURCES}), c AS (SELECT DISTINCT raw, array_to_string(list_slice(p, k, len(p)), '::') AS name FROM (SELECT raw, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT target_function_raw AS raw, string_split(target_function_raw, '::') AS p FROM dvs_task_graph_edges WHERE trim(target_function_raw) <> ''))) SELECT raw, name, func_id FROM c JOIN d USING (name)")
+def _(t):
+    """Definitions of every name that a call gives, tried from the qualified name down to its tail, in the source texts."""
+    found = text.apply(_sources(t), ["func_id"], "source", text.functions_in, "name string, signature string, first_line int, last_line int").select("func_id", "name").distinct()
+    names = t("dvs_task_graph_edges").where("trim(target_function_raw) <> ''").select(F.col("target_function_raw").alias("raw")).distinct()
+    return names.select("raw", F.explode(X.qualified_candidates("raw")).alias("name")).distinct().join(found, "name").select("raw", "name", "func_id")
+
+
 simple("s19_includes", lambda t: lines.includes(lines.text_lines(_sources(t), "func_id", "source"), "func_id"), f"SELECT DISTINCT func_id, unnest([file, 'stdint.h']) AS header FROM {_SOURCES}")
 simple("s21_calls_in_text", lambda t: text.apply(_sources(t), ["func_id"], "source", text.calls_in, "callee string, line_no int"),
        f"SELECT func_id, unnest(['memcpy', tail || '_next', 'g']) AS callee, unnest([6, 8, 9]) AS line_no FROM {_SOURCES}")

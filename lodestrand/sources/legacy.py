@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
 import sqlite3
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from lodestrand.session import shared_dir
+
 
 def _open_read_only(path: str) -> sqlite3.Connection:
     """Read-only; a file on a medium that allows no locks is opened as immutable."""
@@ -63,6 +67,37 @@ def pages_until(fetch: Callable[[int], list[dict]], watermark: str | None, at: s
         number += 1
 
 
+def read_pages(spark: SparkSession, fetch: Callable[[int], list[dict]], watermark: str | None, schema: str, at: str = "updated_at", batch: int = 10_000) -> DataFrame:
+    """The rows of ``pages_until`` as a table. One task turns the pages, which follow each other by definition, and gives
+    them out in batches; the driver sees none of them."""
+    names = StructType.fromDDL(schema).fieldNames()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for _ in range(len(part)):
+                rows: list[dict] = []
+                for row in pages_until(fetch, watermark, at):
+                    rows.append({n: row.get(n) for n in names})
+                    if len(rows) == batch:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                yield pd.DataFrame(rows, columns=names)
+
+    return spark.range(1).coalesce(1).mapInPandas(run, schema)
+
+
+def demo(rows: DataFrame, name: str, schema: str) -> DataFrame:
+    """A small table written into a legacy database file in the shared folder, and read from it."""
+    folder = shared_dir(rows.sparkSession).removeprefix("file://")
+    os.makedirs(f"{folder}/lodestrand", exist_ok=True)
+    path = f"{folder}/lodestrand/{uuid.uuid4().hex}.sqlite"
+    with sqlite3.connect(path) as con:
+        con.execute(f'CREATE TABLE "{name}" ({", ".join(rows.columns)})')
+        con.executemany(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(rows.columns))})', [tuple(r) for r in rows.limit(1000).collect()])
+    con.close()
+    return read_sqlite(rows.sparkSession, [path], name, schema)
+
+
 def page_file(folder: str) -> Callable[[int], list[dict]]:
     """Pages stored as page-1.json, page-2.json … in a folder."""
     def fetch(number: int) -> list[dict]:

@@ -58,6 +58,13 @@ def metric_samples(lines: DataFrame) -> DataFrame:
     return lines.where(~F.startswith(F.trim("line"), F.lit("#"))).select(part(1).alias("name"), labels.alias("labels"), value.alias("value")).where("name <> '' and value is not null")
 
 
+def trajectory(lines: DataFrame, key: str) -> DataFrame:
+    """Steps, distinct functions and greatest depth of each run's path log, one JSON object per line; lines that are no
+    object count as steps without function and depth."""
+    step = F.from_json("line", "function string, depth int")
+    return lines.select(key, step.alias("s")).groupBy(key).agg(F.count("*").alias("steps"), F.countDistinct("s.function").alias("functions"), F.max("s.depth").alias("deepest"))
+
+
 def includes(lines: DataFrame, key: str) -> DataFrame:
     """Distinct headers a text includes."""
     header = F.regexp_extract("line", '^\\s*#\\s*include\\s*[<"]([^>"]+)[>"]', 1)

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def latest_epoch(names: list[str]) -> str | None:
     """The run folder with the largest number; ties and names without number go by name."""
@@ -25,3 +28,11 @@ def result_candidates(root: str, epochs: list[str], run_first: bool, name: str =
         left.remove(top)
     output = [f"{root}/output/{name}"]
     return runs + output if run_first else output + runs
+
+
+def latest_runs(runs: DataFrame, key: str, epoch: str, root: str) -> DataFrame:
+    """(key, by_number, by_name): the root of each key's latest run, by the first number in its epoch (none is lowest) and by the
+    epoch's text. Rows with a NULL key do not count; of equal epochs the greatest root counts."""
+    number = F.coalesce(F.nullif(F.regexp_extract(epoch, "\\d+", 0), F.lit("")).try_cast("int"), F.lit(-1))
+    return runs.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.max_by(root, F.struct(number.alias("n"), F.col(epoch).alias("e"), F.col(root).alias("r"))).alias("by_number"), F.max_by(root, F.struct(F.col(epoch).alias("e"), F.col(root).alias("r"))).alias("by_name"))

@@ -49,13 +49,19 @@ def test_all_path_facts(spark):
 
 
 def test_queries_over_a_table(spark, tmp_path):
-    rows = [(f"t{s}", a, b, 1, f'[{{"summary": "at {a}"}}]') for s, links in LINKS.items() for a, b in links]
-    spark.createDataFrame(rows, "task_id string, source_node_id string, target_node_id string, visible_in_tree int, validations_json string").write.parquet(
+    rows = [(f"t{s}", a, b, b.upper(), 1, None, f'[{{"summary": "at {a}"}}]') for s, links in LINKS.items() for a, b in links]
+    spark.createDataFrame(rows, "task_id string, source_node_id string, target_node_id string, target_function_resolved string, visible_in_tree int, reason_code string, validations_json string").write.parquet(
         f"{tmp_path}/dvs_task_graph_edges.parquet")
+    spark.createDataFrame([("c01",), ("c01",), (None,)], "node_id string").write.parquet(f"{tmp_path}/dvs_task_graph_nodes.parquet")
     run = lambda name: [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
     tree = [(f"t{s}", n, d, ">".join(p), c) for s, n, d, p, c in brute()]
-    assert sorted(run("g04_whole_path_tree")) == sorted(tree)
-    assert dict(run("g17_whole_equal_paths")) == Counter(p for _, _, d, p, _ in tree if d)
-    assert {(s, d, c): n for s, d, c, n in run("g25_whole_flat_tree")} == Counter((s, d, c) for s, _, d, _, c in tree)
+    assert sorted(run("g04_path_tree")) == sorted((*x, x[1] != "c01") for x in tree)
+    fork = Counter((s, ">".join(n.upper() for n in p.split(">")[1:])) for s, _, d, p, c in tree if d and not c)
+    heads = Counter()  # the root of a path has the function of its incoming link, if it has one
+    for s, f, n, _ in run("g17_equal_paths"):
+        heads[(s, f.partition(">")[2])] += n
+    assert heads == fork
+    flat = Counter((s, n, p.split(">")[-2] if d else None, d, c) for s, n, d, p, c in tree)
+    assert {(s, n, up, d, c): k for s, n, up, d, c, k in run("g25_flat_tree")} == flat
     starts = {a for links in LINKS.values() for a, _ in links}
-    assert dict(run("g18_whole_path_validations")) == {p: "|".join(sorted({f"at {n}" for n in p.split(">") if n in starts})) for _, _, _, p, _ in tree}
+    assert dict(run("g18_path_validations")) == {p: "|".join(sorted({f"at {n}" for n in p.split(">") if n in starts})) for _, _, _, p, _ in tree}

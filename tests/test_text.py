@@ -11,8 +11,9 @@ from lodestrand.sources import lines, paths
 def test_arguments():
     assert T.split_arguments("a, f(b, c), p->q, {1, 2}, ") == ["a", "f(b, c)", "p->q", "{1, 2}"]
     assert T.split_arguments("") == []
-    src = ["int x;", "  obj->copy(a,", "     g(b, (c)));", "done();"]
+    src = "int x;\n  obj->copy(a,\n     g(b, (c)));\n// copy(no)\ndone();\n" + "\n" * 20 + "copy(late);"
     assert T.call_arguments(src, 2, "Ns::copy") == ["a", "g(b, (c))"] and T.call_arguments(src, 4, "copy") == ["a", "g(b, (c))"] and T.call_arguments(src, 1, "nope") is None
+    assert T.call_arguments(src, 26, "copy") == ["late"] and T.call_arguments(src, 14, "copy") is None and T.call_arguments(src, 0, "copy") == ["a", "g(b, (c))"] and T.call_arguments("f(", 1, "f") is None
 
 
 def test_extract_json():
@@ -36,7 +37,9 @@ def test_code_scanners():
 
 def test_tables_and_lists():
     md = "# 需要跟入的函数调用\n| 序号 | 函数名 | 行号 |\n|---|---|---|\n| 1 | `foo` | 3 |\n| 2 | bar | ❌ |\n# other\n| x | baz |\n"
-    assert T.callee_table(md) == [("foo", "1 | 3")]
+    assert T.callee_table(md) == [("foo", "", '{"序号": "1", "函数名": "foo", "行号": "3"}')]
+    md = "## Callee\n| Func | Params |\n|--|--|\n| a(x, y) | p |\n| b(q) | none |\n| std::memcpy | n |\n"
+    assert [r[:2] for r in T.callee_table(md)] == [("a", "p")]
     assert T.tainted_list("###\nfoo # c\n@taintvar a\n@taintvar b\n###\nbar\n") == [("foo", "a"), ("foo", "b")]
 
 
@@ -54,7 +57,7 @@ def test_line_sources(spark, tmp_path):
     assert [r["kind"] for r in lines.session_lines(got).orderBy("line_no").collect()] == ["header", "event", "raw", "raw", "raw", "event"]
     assert [r["line_no"] for r in lines.tail(got, "file", 2).orderBy("line_no").collect()] == [5, 6]
     m = spark.createDataFrame([('# HELP x',), ('x{a="1",b="q\\"r"} 2.5 1700000000',), ("y 3",), ('z_bucket{le="+Inf"} +Inf',), ("bad nan?",), ("",)], "line string")
-    assert sorted((r["name"], r["labels"], r["value"]) for r in lines.metric_samples(m).collect()) == [("x", {"a": "1", "b": 'q\\"r'}, 2.5), ("y", {}, 3.0), ("z_bucket", {"le": "+Inf"}, float("inf"))]
+    assert sorted((r["name"], r["labels"], r["value"]) for r in lines.metric_samples(m).collect()) == [("x", {"a": "1", "b": 'q"r'}, 2.5), ("y", {}, 3.0), ("z_bucket", {"le": "+Inf"}, float("inf"))]
     out = spark.createDataFrame([("a\"b", 1.0)], "k string, v double")
     lines.write_metric_text(out, "m", "v", ["k"], str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == 'm{k="a\\"b"} 1.000000'
@@ -72,3 +75,25 @@ def test_paths():
     order = paths.result_candidates("/r", ["e1", "e12", "e2"], run_first=True, name="g")
     assert order == ["/r/run/e12/g", "/r/run/e2/g", "/r/run/e1/g", "/r/output/g"]
     assert paths.first_existing(order, lambda p: "output" in p) == "/r/output/g"
+
+
+def test_metric_labels_are_unescaped_and_the_last_counts(spark):
+    line = 'x{a="1",b="c:\\\\new\\n\\"q\\"",a="2",a="3"} 1'
+    got = lines.metric_samples(spark.createDataFrame([(line,)], "line string")).first()
+    assert got["labels"] == {"a": "3", "b": 'c:\\new\n"q"'}
+
+
+def test_reviews_and_summaries():
+    assert T.review("<think>## 评分: 90</think>## 评分：75\n## 通过：否\n## Feedback\nbad\n\n## 改进指令\nfix") == (False, 75, "bad", "fix")
+    assert T.review("## Score = 61") == (True, 61, "## Score = 61", "") and T.review("## score: 999")[1] == 100
+    assert T.review('so: {"pass": true, "score": 12, "feedback": null}') == (True, 12, "", "")
+    assert T.review("about 80/100") == (True, 80, "about 80/100", "") and T.review("得 65分")[:2] == (False, 65) and T.review("") == (False, 0, "", "")
+    assert T.verdict_summary("## Best Worker: worker-3\n## Overall Pass: yes\n## Reasoning\nfast") == ("worker-3", True, "fast")
+    assert T.verdict_summary('{"best_worker": "worker-2", "pass": true}') == ("worker-2", True, "") and T.verdict_summary("worker-7 胜出")[0] == "worker-7" and T.verdict_summary("none")[0] == ""
+
+
+def test_apply_gives_rows_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(T, "PART", 3)
+    df = spark.createDataFrame([(1, "5"), (2, "0"), (3, None), (4, "4")], "k int, n string")
+    got = T.apply(df, ["k"], "n", lambda s: ((j,) for j in range(int(s))), "j int")
+    assert sorted(map(tuple, got.collect())) == [(1, j) for j in range(5)] + [(4, j) for j in range(4)]
