@@ -2,7 +2,8 @@
 
 Every scope (a task, a function's graph) is one link graph in which a node may have several parents. The
 method is that of hash splitters. A deterministic hash chooses splitters among the nodes, and every root
-is one. Each node is walked upwards to its next splitters; the reduced graph of splitters is solved for
+and every node with several parents is one, so that no walk branches and all walks together are about
+SPLIT_EVERY times the links. Each node is walked upwards to its next splitters; the reduced graph of splitters is solved for
 the distances to roots and for its strongly connected components; the walks are then expanded. Cycles
 without any splitter show as walks that come back to their own node and are handled there.
 
@@ -105,7 +106,7 @@ def solve_scope(named: set[str], links: set[tuple[str, str]], every: int = SPLIT
         parents[child].append(parent)
     nodes = sorted(named)
     roots = [x for x in nodes if x not in parents]
-    stop = {x for x in nodes if x not in parents or _is_splitter(x, every)}
+    stop = {x for x in nodes if len(parents.get(x, ())) != 1 or _is_splitter(x, every)}
     met, passed, on_cycle = _walks(nodes, parents, stop)
 
     # Reduced graph: distances of splitters to roots by relaxation from the roots outwards.
@@ -250,7 +251,8 @@ class _Reduced:
         )
         has_parent = self.pairs.select("scope", F.col("child").alias("node")).distinct()
         self.roots = durable(named.join(has_parent, ["scope", "node"], "left_anti"))
-        self.stop = stop = durable(named.where(_splits(F.col("node"), every)).unionAll(self.roots).distinct())
+        joins = self.pairs.groupBy("scope", F.col("child").alias("node")).agg(F.count("*").alias("n")).where("n > 1").select("scope", "node")
+        self.stop = stop = durable(named.where(_splits(F.col("node"), every)).unionAll(self.roots).unionAll(joins).distinct())
         flagged = durable(
             self.pairs.join(stop.select("scope", F.col("node").alias("parent"), F.lit(True).alias("stops")), ["scope", "parent"], "left")
             .select("scope", F.col("child").alias("at"), F.col("parent").alias("up"), F.coalesce("stops", F.lit(False)).alias("stops"))

@@ -120,8 +120,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shortest path from every root to each node it reaches, root first."""
-    return _by_table(hierarchy.paths(_links(spark, sf_dir)))
+    """A shortest path from every root to each node it reaches, root first, as text."""
+    return _by_table(hierarchy.paths(_links(spark, sf_dir))).withColumn("path", F.array_join("path", ">"))
 
 
 def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +172,33 @@ r AS (
         SELECT 1 FROM d WHERE d.fk = e.fk AND d.sk = e.sk AND d.tk = e.tk AND d.node_id = e.to_node))
 """
 
+_P6_SQL = r"""
+WITH RECURSIVE raw AS (
+    SELECT 'dvs_task_graph_edges' AS src_table, nullif(replace(lower(trim(task_id)), '_', '-'), '') AS scope, nullif(regexp_replace(lower(trim(target_node_id)), '^0x', ''), '') AS child,
+        nullif(regexp_replace(lower(trim(source_node_id)), '^0x', ''), '') AS parent
+    FROM dvs_task_graph_edges WHERE visible_in_tree = 1 AND nullif(regexp_replace(lower(trim(target_node_id)), '^0x', ''), '') IS NOT NULL AND nullif(regexp_replace(lower(trim(source_node_id)), '^0x', ''), '') IS NOT NULL
+    UNION
+    SELECT 'dag_nodes', nullif(regexp_replace(lower(trim(func_id)), '^0x', ''), '') || '|'
+        || nullif(regexp_replace(regexp_replace(regexp_replace(taint_signature, '\s+', '', 'g'), '^(this|self)(->|\.)', ''), '[()]+$', ''), '') || '|' || nullif(replace(lower(trim(task_id)), '_', '-'), ''),
+        CAST(node_id AS VARCHAR), CASE WHEN p IS NOT NULL THEN regexp_replace(p, '^(-?)0+(\d)', '\1\2') END
+    FROM (SELECT *, unnest(list_prepend(NULL, regexp_extract_all(coalesce(parents_json, ''), '-?\d+'))) AS p FROM dag_nodes WHERE node_id IS NOT NULL)),
+l AS (SELECT DISTINCT src_table, scope, child, parent FROM raw WHERE scope IS NOT NULL AND parent IS NOT NULL),
+n AS (SELECT src_table, scope, child AS node FROM raw WHERE scope IS NOT NULL UNION SELECT src_table, scope, parent FROM l),
+r AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.src_table = n.src_table AND l.scope = n.scope AND l.child = n.node)),
+d(src_table, scope, node, root, depth) USING KEY (src_table, scope, node, root) AS (
+    SELECT src_table, scope, node, node, 0 FROM r
+    UNION
+    SELECT l.src_table, l.scope, l.child, d.root, min(d.depth + 1) FROM d JOIN l ON l.src_table = d.src_table AND l.scope = d.scope AND l.parent = d.node
+    LEFT JOIN recurring.d AS k ON k.src_table = l.src_table AND k.scope = l.scope AND k.node = l.child AND k.root = d.root
+    WHERE k.depth IS NULL OR k.depth > d.depth + 1 GROUP BY 1, 2, 3, 4),
+b(src_table, scope, node, below, depth) USING KEY (src_table, scope, node, below) AS (
+    SELECT DISTINCT src_table, scope, parent, child, 1 FROM l
+    UNION
+    SELECT b.src_table, b.scope, b.node, l.child, min(b.depth + 1) FROM b JOIN l ON l.src_table = b.src_table AND l.scope = b.scope AND l.parent = b.below
+    LEFT JOIN recurring.b AS k ON k.src_table = b.src_table AND k.scope = b.scope AND k.node = b.node AND k.below = l.child
+    WHERE k.depth IS NULL OR k.depth > b.depth + 1 GROUP BY 1, 2, 3, 4)
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -185,6 +212,15 @@ QUERIES = {
     "p6_descendants": p6_descendants,
 }
 SQL = {
+    "p6_found": _P6_SQL
+    + "SELECT src_table, scope AS scope_key, node AS node_key, root AS root_key, CAST(depth AS BIGINT) AS link_depth FROM d UNION ALL SELECT src_table, scope, node, '', -1 FROM b WHERE node = below",
+    "p6_paths": _P6_SQL
+    + """, a AS (SELECT d.src_table, d.scope, d.node, d.root, d.depth, min(u.node) AS up FROM d JOIN l ON l.src_table = d.src_table AND l.scope = d.scope AND l.child = d.node
+    JOIN d u ON u.src_table = d.src_table AND u.scope = d.scope AND u.root = d.root AND u.node = l.parent AND u.depth = d.depth - 1 GROUP BY 1, 2, 3, 4, 5),
+p AS (SELECT src_table, scope, node, root, depth, node AS path FROM d WHERE depth = 0
+    UNION ALL SELECT a.src_table, a.scope, a.node, a.root, a.depth, p.path || '>' || a.node FROM p JOIN a ON a.src_table = p.src_table AND a.scope = p.scope AND a.root = p.root AND a.up = p.node)
+SELECT src_table, scope AS scope_key, node AS node_key, root AS root_key, CAST(depth AS BIGINT) AS link_depth, path FROM p""",
+    "p6_descendants": _P6_SQL + "SELECT src_table, scope AS scope_key, node AS node_key, below AS descendant_key, CAST(depth AS BIGINT) AS link_depth FROM b",
     "p4_found": _P4_SQL + "SELECT DISTINCT ref_table, ref_field, ref_key, missing_key FROM r",
     "p4_orphans_per_month": _P4_SQL
     + "SELECT ref_table, ref_field, strftime(loaded_at AT TIME ZONE 'UTC', '%Y-%m') AS loaded_month, count(*) AS orphan_refs, count(DISTINCT cmp) AS orphan_keys FROM r GROUP BY 1, 2, 3",

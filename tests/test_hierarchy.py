@@ -1,7 +1,10 @@
 """Problem 6."""
 
+import os
 import random
 
+import pytest
+
 from lodestrand.operators import hierarchy as H
 
 
@@ -79,6 +82,28 @@ def test_distributed_long_walks_without_splitters(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+@pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="minutes; set SLOW_TESTS")
+def test_distributed_on_a_large_cyclic_graph(spark):
+    rnd = random.Random(3)
+    links = {(f"c{k:04}", f"c{k - 1:04}") for k in range(1, 200)} | {(f"n{rnd.randrange(5000)}", f"n{rnd.randrange(5000)}") for _ in range(4000)}
+    links |= {(f"n{k}", f"n{(k + 1) % 61}") for k in range(61)}
+    df = spark.createDataFrame([("s", a, b) for a, b in links], "scope string, child string, parent string")
+    want = {("s", *x) for x in H.solve_scope({x for link in links for x in link}, links)}
+    got = [tuple(r) for r in H.solve(df, local_links=0, every=8).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="minutes; set SLOW_TESTS")
+def test_a_scope_above_the_switch(spark):
+    rnd = random.Random(4)
+    links = {(f"n{k}", f"n{rnd.randrange(k)}") for k in range(1, 11_000) for _ in range(2)} | {(f"n{k}", f"n{k - 1}") for k in range(1, 40)}
+    assert len(links) > H.LOCAL_LINKS
+    df = spark.createDataFrame([("hot", a, b) for a, b in links] + [("cold", "x", "y")], "scope string, child string, parent string")
+    want = {("hot", *x) for x in H.solve_scope({x for link in links for x in link}, links)} | {("cold", "x", "y", 1), ("cold", "y", "y", 0)}
+    got = [tuple(r) for r in H.solve(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def brute_paths(named, links):
     """(node, root, depth, path): shortest paths, of equal ones the smallest when read from the node up."""
     up = {}

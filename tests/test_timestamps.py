@@ -37,6 +37,8 @@ CASES = [
     ("1704247107123", None, 1704247107123000),
     ("1704246839000001", None, 1704246839000001),
     ("1704246839000001999", None, 1704246839000001),
+    ("0001-01-02 00:00:01", "Asia/Shanghai", -62_135_539_542_000_000),
+    ("9999-12-31 23:59:59", "UTC", 253_402_300_799_000_000),
     # none
     ("2024-11-03 01:30:00 America/New_York", None, None),
     ("2024-03-10 02:30:00", "America/New_York", None),
