@@ -1,4 +1,4 @@
-"""Roll-ups of runs and metric samples (A10–A12, A16, A19, A21, R05): one wide aggregation per table, joined by one row."""
+"""Roll-ups of runs and metric samples (A10–A12, A16, A19, A21, R05): one wide aggregation per table."""
 
 from __future__ import annotations
 
@@ -67,9 +67,13 @@ def cluster(tasks: DataFrame, rounds: DataFrame, judges: DataFrame, slots: DataF
     of_rounds = {"rounds": F.sum("n"), "retries": F.sum(c("n") - 1), "round_functions": F.sum("f"), "round_seconds": F.sum("d")}
     of_judges = {"judges": F.count("*"), "judge_seconds": F.sum("duration"), "judge_sessions": F.count("session")}
     of_slots = {"workers": F.countDistinct("worker"), "healthy_workers": F.countDistinct(F.when(c("healthy"), c("worker"))), "slots": F.sum("capacity"), "busy_slots": F.sum("running")}
-    one = lambda df, what: df.agg(*[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in what.items()])
-    # four aggregates of one row each
-    row = one(tasks, measures).crossJoin(one(per_task, of_rounds)).crossJoin(one(judges, of_judges)).crossJoin(one(slots, of_slots))
+    sets = ((tasks, measures), (per_task, of_rounds), (judges, of_judges), (slots, of_slots))
+    # each table gives one row; their measures as rows, then as the columns of one row
+    listed = None
+    for df, what in sets:
+        cells = df.agg(*[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in what.items()]).select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), c(k).alias("value")) for k in what])))
+        listed = cells if listed is None else listed.unionAll(cells)
+    row = listed.agg(*[F.max(F.when(c("metric") == k, c("value"))).alias(k) for _, what in sets for k in what])
     ratio = lambda a, b: F.coalesce(c(a) / F.nullif(c(b), F.lit(0.0)), F.lit(0.0))
     extra = {
         "free_slots": F.greatest(F.lit(0.0), c("slots") - c("busy_slots")), "slot_utilisation": ratio("busy_slots", "slots"), "queue_pressure": ratio("status_pending", "slots"),

@@ -40,8 +40,8 @@ def sorted_page(df: DataFrame, sort: str, descending: bool, key: str, allowed: s
     """A page in the order of a column the caller may choose, with the number of all rows as ``total``. A column that
     is not allowed is not sorted by; equal rows stand by descending key."""
     order = [F.desc(sort) if descending else F.asc(sort)] if sort in allowed else []
-    total = df.agg(F.count("*").alias("total"))  # one row
-    return df.orderBy(*order, F.desc(key)).offset(offset).limit(size).crossJoin(F.broadcast(total))
+    total = df.agg(F.count("*").alias("total")).scalar()
+    return df.orderBy(*order, F.desc(key)).offset(offset).limit(size).withColumn("total", total)
 
 
 def cumulative_buckets(df: DataFrame, keys: list[str], value: str, bounds: tuple[float, ...]) -> DataFrame:
