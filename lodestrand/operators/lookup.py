@@ -102,12 +102,11 @@ def matched_root(procs: DataFrame, key: str, paths: list[tuple[str, str, int]],
 
 
 def siblings(arms: DataFrame, group: str, arm: str) -> DataFrame:
-    """(group, arm, place, arms): the arms that exclude each other, by membership; every other arm of the same group is a
-    sibling. Groups of one arm give none; no list of a group is built, and no pairs."""
+    """(group, arm, arms): the arms that exclude each other, by membership; every other arm of the same group is a sibling.
+    Groups of one arm give none; no group is sorted or built as a list, and there are no pairs."""
     once = arms.where(F.col(group).isNotNull() & F.col(arm).isNotNull()).select(group, arm).distinct()
     sizes = once.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("arms")).where("arms > 1")
-    place = F.row_number().over(Window.partitionBy(group).orderBy(arm))
-    return once.join(sizes, once[group] == sizes["_g"]).select(group, arm, place.alias("place"), "arms")
+    return once.join(sizes, once[group] == sizes["_g"]).select(group, arm, "arms")
 
 
 def ready(units: DataFrame, unit: str, needs: DataFrame, need: str, done: DataFrame, done_key: str) -> DataFrame:

@@ -152,7 +152,7 @@ simple("j09_best_root", lambda t: lookup.best_root(t("dvs_functions").select("fi
 simple("j10_interval_join", lambda t: lookup.interval_join(t("dvs_task_graph_edges").where("call_line is not null and source_file is not null").select("edge_id", F.col("source_file").alias("file"), F.col("call_line").alias("line")).distinct(), t("dvs_functions").where("start_line is not null and end_line is not null"), "file", "line", "start_line", "end_line", "func_id"),
        "SELECT e.edge_id, e.file, e.line, coalesce(arg_min(f.func_id, (f.start_line, f.end_line, f.func_id)), '<global:' || e.file || ':' || e.line || '>') AS func_id FROM (SELECT DISTINCT edge_id, source_file AS file, call_line AS line FROM dvs_task_graph_edges WHERE call_line IS NOT NULL AND source_file IS NOT NULL) e LEFT JOIN dvs_functions f ON f.file = e.file AND e.line BETWEEN f.start_line AND f.end_line GROUP BY 1, 2, 3")
 simple("j11_mutex_siblings", lambda t: lookup.siblings(t("dag_edges").where("from_node is not null").select(F.concat_ws("|", "func_id", "task_id", F.col("from_node").cast("string")).alias("grp"), "to_node"), "grp", "to_node"),
-       "SELECT grp, to_node, CAST(row_number() OVER (PARTITION BY grp ORDER BY to_node) AS INT) AS place, arms FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS arms FROM (SELECT DISTINCT concat_ws('|', func_id, task_id, CAST(from_node AS VARCHAR)) AS grp, to_node FROM dag_edges WHERE from_node IS NOT NULL AND to_node IS NOT NULL)) WHERE arms > 1")
+       "SELECT grp, to_node, arms FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS arms FROM (SELECT DISTINCT concat_ws('|', func_id, task_id, CAST(from_node AS VARCHAR)) AS grp, to_node FROM dag_edges WHERE from_node IS NOT NULL AND to_node IS NOT NULL)) WHERE arms > 1")
 
 
 @query("j09_matched_process", """

@@ -29,10 +29,6 @@ def _project(name: str, source: str, columns: dict[str, str | Column | Callable[
         SQL[name] = f"SELECT {sql} FROM {source}"
 
 
-def _case(values: dict[str, str], key: str) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
-
-
 def _contains_any(text: str, words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
 

@@ -1,11 +1,10 @@
-"""Registered sources (S) and the text functions that are sequential."""
+"""Registered sources (S)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lodestrand.functions import scalar as X
-from lodestrand.functions import text
 from lodestrand.operators import lookup, merge, ranking
 from lodestrand.plans.relational import QUERIES as _KNOWN
 from lodestrand.plans.relational import SQL as _KNOWN_SQL
@@ -85,6 +84,13 @@ def _(t):
     return legacy.demo(t("region").select(F.col("r_name").alias("event")), "timeline", "event string, level int").drop("path").fillna(0, ["level"])
 
 
+@query("s24_process_table", "SELECT CAST(n_nationkey AS BIGINT) AS pid, n_name || ' --region ' || n_regionkey AS command FROM nation")
+def _(t):
+    """Processes of a process table (made of the nation table, 25 rows by definition) with their command lines."""
+    rows = t("nation").select("n_nationkey", "n_name", F.lit("--region").alias("flag"), "n_regionkey")
+    return legacy.demo_processes(rows, "n_nationkey", ["n_name", "flag", "n_regionkey"]).select("pid", "command")
+
+
 @query("s25_paged_cases", "SELECT CAST(100 - i AS BIGINT) AS id, CAST(2000 - i AS VARCHAR) AS updated_at FROM range(0, 30) x(i)")
 def _(t):
     """Numbered pages of ten cases, newest first, read in one task until a page is older than the watermark."""

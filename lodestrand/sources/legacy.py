@@ -1,4 +1,4 @@
-"""Legacy single-file databases (S11, S12, S14) and paged sources with early stop."""
+"""Legacy single-file databases (S11, S12, S14), process tables (S24) and paged sources with early stop."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestrand.session import shared_dir
@@ -108,3 +109,26 @@ def page_file(folder: str) -> Callable[[int], list[dict]]:
             return []
 
     return fetch
+
+
+def read_processes(spark: SparkSession, folder: str, matching: str = "") -> DataFrame:
+    """(pid, args, command) of a process table: a folder with one folder per process that holds its ``cmdline``, words ended
+    by NUL. The table of one machine, or dumps of many under one path. Folders without a number and processes with an empty
+    command line (kernel threads) do not count; ``matching`` is a regular expression the command must contain."""
+    text = spark.read.text(f"{folder}/*/cmdline", wholetext=True, lineSep="\x01").select(F.regexp_extract(F.col("_metadata.file_path"), "/(\\d+)/cmdline$", 1).alias("pid"), "value")
+    args = F.filter(F.split("value", "\x00"), lambda a: a != "")
+    rows = text.where("pid <> ''").select(F.col("pid").cast("long").alias("pid"), args.alias("args")).where(F.size("args") > 0)
+    return rows.withColumn("command", F.array_join("args", " ")).where(F.col("command").rlike(matching))
+
+
+def demo_processes(rows: DataFrame, pid: str, words: list[str]) -> DataFrame:
+    """A small process table written into the shared folder, and read from it."""
+    folder = f"{shared_dir(rows.sparkSession).removeprefix('file://')}/lodestrand/proc-{uuid.uuid4().hex}"
+    os.makedirs(f"{folder}/self")
+    for row in rows.limit(1000).collect():
+        os.makedirs(f"{folder}/{row[pid]}", exist_ok=True)
+        with open(f"{folder}/{row[pid]}/cmdline", "wb") as f:
+            f.write(b"".join(str(row[w]).encode() + b"\x00" for w in words if row[w] is not None))
+    with open(f"{folder}/self/cmdline", "wb") as f:
+        f.write(b"me\x00")
+    return read_processes(rows.sparkSession, f"file://{folder}")

@@ -24,3 +24,14 @@ def test_pages_stop_at_the_watermark(tmp_path):
     fetch = legacy.page_file(str(tmp_path))
     assert [r["id"] for r in legacy.pages_until(fetch, "2024-02")] == [1, 2]
     assert [r["id"] for r in legacy.pages_until(fetch, None)] == [1, 2, 3, 4]
+
+
+def test_process_table(spark, tmp_path):
+    from lodestrand.sources import legacy
+
+    for pid, words in (("12", b"python\x00-m\x00run\x00"), ("7", b""), ("self", b"x\x00"), ("30", b"bash\x00-c\x00a b\nc\x00")):
+        (tmp_path / pid).mkdir()
+        (tmp_path / pid / "cmdline").write_bytes(words)
+    got = {r["pid"]: r["args"] for r in legacy.read_processes(spark, f"file://{tmp_path}").collect()}
+    assert got == {12: ["python", "-m", "run"], 30: ["bash", "-c", "a b\nc"]}
+    assert [r["pid"] for r in legacy.read_processes(spark, f"file://{tmp_path}", "^python").collect()] == [12]
