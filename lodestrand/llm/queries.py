@@ -31,7 +31,7 @@ def _node_fields(spark: SparkSession, sf_dir: str, least: int, weighting: str =
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record whose value survives, per group of two or more and field."""
+    """The record whose value is closest to the consensus, a value outweighing all lower ranked ones, per group of two or more and field."""
     return _node_fields(spark, sf_dir, 2).select("first_rec_id", "field_name", "rec_id")
 
 

@@ -128,3 +128,50 @@ def test_votes_of_a_hot_group_are_all_counted(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = R.representatives(df, F.col("g"), "rec_id", ["taint"], F.col("trust"), F.col("at"), weighting="votes", fan_in=4).collect()
     assert len(got) == 1 and got[0]["value"].startswith("left")
+
+
+def test_precedence_goes_by_alignment_vote_and_distance(monkeypatch):
+    """p3_found's winners come from the consensus: each step runs, and another vote or another distance gives another winner."""
+    import pyarrow as pa
+
+    values = [("check len < 64", 1), ("check len <= 128", 3), ("test size", 2)]
+    items = [{"value": v, "rank": {"t": 0, "w": 5, "i": i}, "votes": 1} for v, i in values]
+    kind = pa.list_(pa.struct([("value", pa.string()), ("rank", pa.struct([(k, pa.int64()) for k in "twi"])), ("votes", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(["g", "h"]), pa.array([items, items[:1]], kind)], ["g", "items"])
+    winners = lambda: next(R._reduce_batches(["g"], True)(iter([batch]))).column("value").to_pylist()
+    seen = []
+    for step in ("align_tokens", "ranked_vote", "distance"):
+        monkeypatch.setattr(R, step, lambda *a, _s=step, _f=getattr(R, step): seen.append(_s) or _f(*a))
+    assert winners() == ["check len <= 128", "check len < 64"]
+    assert seen == ["align_tokens"] * 2 + ["ranked_vote"] + ["distance"] * 3
+    with monkeypatch.context() as m:
+        m.setattr(R, "ranked_vote", lambda profile: ["test", "size"])
+        assert winners()[0] == "test size"
+    monkeypatch.setattr(R, "distance", lambda a, b: "64" not in a)
+    assert winners()[0] == "check len < 64"
+
+
+def test_token_alignments_cost_their_distance():
+    rnd = random.Random(5)
+    for n in [*rnd.choices(range(15), k=500), 3000]:
+        a, b = ([rnd.choice("abc") for _ in range(rnd.randint(n // 2, n))] for _ in range(2))
+        pairs = R.align_tokens(a, b)
+        for side, whole in enumerate((a, b)):
+            assert [p[side] for p in pairs if p[side] is not None] == list(range(len(whole)))
+        assert sum(i is None or j is None or a[i] != b[j] for i, j in pairs) == (R.distance(a, b) if n == 3000 else plain_distance(a, b))
+
+
+def test_ranked_votes_equal_votes_of_powers_of_two():
+    rnd = random.Random(7)
+    for _ in range(300):
+        n = rnd.randint(2, 9)
+        texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 7))) + " " * k for k in range(n)]
+        ranked = [(t, R.weight_of({"t": rnd.randint(0, 1), "w": rnd.choice([-(2**62), 3]), "i": k or None})) for k, t in enumerate(texts)]
+        order = sorted(w for _, w in ranked)
+        want = R.consensus([(t, 2 ** order.index(w)) for t, w in ranked])
+        assert R.ranked_vote(R.ranked_profile(ranked)[0]) == want
+        one, two = R.ranked_profile(ranked[: n // 2]), R.ranked_profile(ranked[n // 2:])
+        assert R.ranked_vote(R.merge_ranked(*one, *two)) == want
+        assert R.closest(ranked, precedence=True) == max(range(n), key=lambda k: ranked[k][1])
+    many = [(" ".join(rnd.choice("abcdefgh") for _ in range(20)), k) for k in range(300)]
+    assert len(R.ranked_profile(many)[0]) < 200  # columns do not add up
